@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op1_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompression import substring_dedup
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -39,10 +46,26 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recompression_dedup": op1_recompression_dedup,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op5_license_scan": op5_license_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_temperature_mixing": op9_temperature_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+OP1_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+    SELECT doc_id, unnest(range(1, len(words) - 18)) AS p, words FROM w WHERE len(words) >= 20
+), windows AS (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(words[p : p + 19], ' ') ORDER BY doc_id, p) AS nth FROM starts
+), gone AS (
+    SELECT doc_id, list(DISTINCT p + k) AS places FROM (SELECT doc_id, p, unnest(range(0, 20)) AS k FROM windows WHERE nth > 1) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(places, i), false)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_recompression_dedup": OP1_SQL}

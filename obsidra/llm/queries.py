@@ -17,6 +17,17 @@ def op1_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: The vocabulary file of the SentencePiece query; read on the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import encode, load
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, load(PIECE_MODEL)).select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -47,6 +58,7 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression_dedup": op1_recompression_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op5_license_scan": op5_license_scan,
     "op8_quality_classifier": op8_quality_classifier,

@@ -60,6 +60,7 @@ def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, mo
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64's constants)."""
+    x = np.atleast_1d(x)  # arrays wrap around silently
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))

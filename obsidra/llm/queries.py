@@ -42,6 +42,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orderhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import graded, score, train
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op5_license_scan": op5_license_scan,
+    "op7_order_minhash": op7_order_minhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_temperature_mixing": op9_temperature_mixing,
 }

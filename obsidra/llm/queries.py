@@ -36,6 +36,12 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rangejoin import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -62,14 +68,22 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False)
 
 
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hashforest import search
+
+    return search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression_dedup": op1_recompression_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_pivot_range_join": op4_pivot_range_join,
     "op5_license_scan": op5_license_scan,
     "op7_order_minhash": op7_order_minhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_temperature_mixing": op9_temperature_mixing,
+    "op10_hash_prefix_forest": op10_hash_prefix_forest,
 }
 
 OP1_SQL = r"""
@@ -87,4 +101,19 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places
 FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_recompression_dedup": OP1_SQL}
+OP4_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+    SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id != b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, least(v.vec_id, coalesce(r.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(r.m, v.vec_id)) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON v.vec_id = l.a LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON v.vec_id = r.a
+"""
+
+ORACLES: dict[str, str] = {"op4_pivot_range_join": OP4_SQL, "op1_recompression_dedup": OP1_SQL}

@@ -48,6 +48,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import suffix_dedup
+
+    done = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orderhash import near_duplicates
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_pivot_range_join": op4_pivot_range_join,
     "op5_license_scan": op5_license_scan,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_order_minhash": op7_order_minhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_temperature_mixing": op9_temperature_mixing,

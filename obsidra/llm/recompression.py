@@ -5,7 +5,7 @@ every round neighbouring tokens (a, b) get one name where a keyed coin of a is 0
 fingerprints of what they stand for, so they are global without a dictionary: equal substrings get equal symbols in
 their interior, in whatever document. Each symbol carries the words that decided it (its support).
 
-Each window of ``window`` words is filed under the smallest symbol whose support lies inside it: equal windows hold equal
+Each window of ``window`` words is filed under the longest symbol whose support lies inside it (then by hash): equal windows hold equal
 symbols at equal offsets, so they meet under the same name (a window that holds no whole support is filed under its own
 hash). The Spark rounds are: (1) names are counted globally; those seen once drop out with all their windows; (2) the
 windows under shared names meet by 96-bit fingerprints and the first one of each is found; (3) every document removes
@@ -26,13 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import group_bits, mixed, rolling, row_struct, slices, text_buffers, word_hashes
+from .common import group_bits, mixed, rolling, slices, text_buffers, word_hashes
+from .exchange import NO_ID, by_range, counted_names, distinct_rows, grouped_documents, in_sorted, joined, packed, shared_names
 
-ROUNDS = 3
-_NO_ID = np.iinfo(np.int64).min
+ROUNDS = 4
 _FAR = 1 << 40
 _ONE, _ANOTHER = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
@@ -99,8 +98,11 @@ def filed(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.
         return at, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     name, start, low, high = symbols(h, owner)
+    # longest symbol first, then by hash: long symbols are rare, so few windows share one by chance
+    length = np.diff(np.append(start, n))
+    name = np.maximum(63 - length, 0).astype(np.uint64) << np.uint64(58) | mixed(name) >> np.uint64(6)
     fits = high - low <= width
-    name, start, low, high = mixed(name[fits]), start[fits], low[fits], high[fits]
+    name, start, low, high = name[fits], start[fits], low[fits], high[fits]
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     best, place = np.full(n, none), np.full(n, _FAR)
     spare = low - (high - width)  # the windows from high-width to low hold the support
@@ -120,35 +122,14 @@ def filed(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.
         p, got, where = p[inside], name[use][inside], start[use][inside]
         hit = best[p] == got
         np.minimum.at(place, p[hit], where[hit])
-    key, where = best[at], place[at]
-    bare = key == none
+    key, where = mixed(best[at]), place[at]
+    bare = best[at] == none
     if bare.any():
         key[bare] = mixed(rolling(h, width, _ONE)[at[bare]] ^ np.uint64(0xABCDEF))
         where[bare] = at[bare]
     return at, key, where
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype=dtype) for x in column.to_pylist() if x]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
-
-
-def _distinct(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The documents of a group, in order and once each, and the document of each row."""
-    ids = table.column("__id").combine_chunks().fill_null(_NO_ID).to_numpy()
-    marks = table.column("__mark").to_numpy()
-    order = np.lexsort((marks, ids))
-    new = np.ones(len(order), bool)
-    new[1:] = (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return table.take(pa.array(order[new])), which
-
-
 def _texts(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first document, word hashes, first words) of slices of a group."""
     data, offsets = text_buffers(table.column("__text"))
@@ -158,21 +139,6 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, h, first
 
 
-def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
-
-
-def _by_range(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the name ranges in sorted ``keys``, and the ranges that have any."""
-    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    begin = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(ranges) else np.zeros(0, np.int64)
-    return np.append(begin, len(keys)), ranges[begin]
-
-
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and removed (word spans)."""
     added = [
@@ -183,65 +149,29 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     ]
     names = {f.name for f in added}
     bits = group_bits(docs)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    mark = F.xxhash64(F.col(id_col), text)
-    grouped = docs.select(
-        row_struct(docs, (text_col, *names)).alias("__row"),
-        F.col(id_col).cast("long").alias("__id"),
-        text.alias("__text"),
-        mark.alias("__mark"),
-        F.shiftright(mark, 64 - bits).cast("int").alias("__group"),
-    )
+    grouped = grouped_documents(docs, bits, id_col, text_col, names)
 
     def name_texts(key, table):
-        table, _ = _distinct(table)
+        table, _ = distinct_rows(table)
         found = []
         for _, h, first in _texts(table):
             at, name, place = filed(h, first, window)
             change = np.ones(len(at), bool)
             change[1:] = (name[1:] != name[:-1]) | (place[1:] != place[:-1])
             found.append(name[change])
-        name = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        begin = np.flatnonzero(new)
-        often = np.diff(np.append(begin, len(name))) > 1
-        name = name[begin]
-        bound, ranges = _by_range(name, bits)
-        rows = [_packed(name[a:b]) for a, b in zip(bound[:-1], bound[1:])]
-        again = [_packed(often[a:b]) for a, b in zip(bound[:-1], bound[1:])]
-        return pa.table({"range": pa.array(ranges, pa.int32()), "group": pa.array([key[0].as_py()] * len(rows), pa.int32()), "names": pa.array(rows, pa.binary()), "often": pa.array(again, pa.binary())})
-
-    def shared_names(key, table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-        name = np.concatenate(parts)
-        often = _joined(table.column("often"), bool)
-        group = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        order = np.argsort(name, kind="stable")
-        name, often, group = name[order], often[order], group[order]
-        equal = name[1:] == name[:-1]
-        shared = often.copy()
-        shared[1:] |= equal
-        shared[:-1] |= equal
-        name, group = name[shared], group[shared]
-        order = np.argsort(group, kind="stable")
-        name, group = name[order], group[order]
-        bound = np.searchsorted(group, np.arange(len(parts) + 1))
-        ids = table.column("group").to_pylist()
-        has = [i for i in range(len(parts)) if bound[i] < bound[i + 1]]
-        return pa.table({"group": pa.array([ids[i] for i in has], pa.int32()), "names": pa.array([_packed(name[bound[i] : bound[i + 1]]) for i in has], pa.binary())})
+        return counted_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), bits)
 
     def windows(key, left, right):
         empty = {"range": pa.array([], pa.int32()), "group": pa.array([], pa.int32()), "windows": pa.array([], pa.binary())}
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
-        left, _ = _distinct(left)
-        ids = left.column("__id").combine_chunks().fill_null(_NO_ID).to_numpy()
-        shared = np.sort(_joined(right.column("names"), np.uint64))
+        left, _ = distinct_rows(left)
+        ids = left.column("__id").combine_chunks().fill_null(NO_ID).to_numpy()
+        shared = np.sort(joined(right.column("names"), np.uint64))
         found = []
         for i, h, first in _texts(left):
             at, name, _ = filed(h, first, window)
-            at = at[_in_sorted(name, shared)]
+            at = at[in_sorted(name, shared)]
             doc = np.searchsorted(first, at, side="right") - 1 + i
             found.append((rolling(h, window, _ONE)[at], (rolling(h, window, _ANOTHER)[at] >> np.uint64(32)).astype(np.uint32), ids[doc]))
         one, two, doc = (np.concatenate(x) for x in zip(*found))
@@ -250,8 +180,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         one, two, doc = one[new], two[new], doc[new]
-        bound, ranges = _by_range(one, bits)
-        rows = [_packed(doc[a:b], one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])]
+        bound, ranges = by_range(one, bits)
+        rows = [packed(doc[a:b], one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])]
         return pa.table({"range": pa.array(ranges, pa.int32()), "group": pa.array([left.column("__group")[0].as_py()] * len(rows), pa.int32()), "windows": pa.array(rows, pa.binary())})
 
     def first_windows(key, table):
@@ -271,14 +201,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         one, two, group = one[order], two[order], group[order]
         own = np.unique(group)
         bound = np.append(np.searchsorted(group, own), len(group))
-        return pa.table({"group": pa.array(own, pa.int32()), "later": pa.array([_packed(one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])], pa.binary())})
+        return pa.table({"group": pa.array(own, pa.int32()), "later": pa.array([packed(one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])], pa.binary())})
 
     schema = T.StructType([grouped.schema["__row"], *added])
 
     def remove(key, left, right):
         if not left.num_rows:
             return pa.table({"__row": left.column("__row"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "removed": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
-        unique, which = _distinct(left)
+        unique, which = distinct_rows(left)
         known = [np.frombuffer(x, np.uint8) for x in right.column("later").to_pylist()] if right.num_rows else []
         one = np.concatenate([np.zeros(0, np.uint64), *[x[: len(x) // 12 * 8].view(np.uint64) for x in known]])
         two = np.concatenate([np.zeros(0, np.uint32), *[x[len(x) // 12 * 8 :].view(np.uint32) for x in known]])
@@ -296,7 +226,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         order = np.argsort(both, kind="stable")
         repeat = np.zeros(len(both), bool)
         repeat[order[1:]] = both[order[1:]] == both[order[:-1]]
-        repeat |= _in_sorted(both, later)
+        repeat |= in_sorted(both, later)
         n_words, n_removed, texts, spans = [], [], [], []
         data, offsets = text_buffers(unique.column("__text"))
         raw = data.tobytes()

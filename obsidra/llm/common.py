@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -40,11 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again: cuts lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/obsidra/{name}-{uuid.uuid4().hex}"
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read again: cuts lineage and outlives lost executors.
+
+    ``small``: rows are few next to the work that makes them, so they are dealt to a sixteenth of the shuffle partitions
+    before writing; the work itself keeps its parallelism.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/obsidra/{name}-{uuid.uuid4().hex}"
+    if small:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -58,6 +66,11 @@ def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, mo
     return min(most, max(least, int(groups).bit_length()))
 
 
+def worker_cache() -> dict:
+    """A dict of the worker process: what is costly to set up serves all tasks that it runs."""
+    return sys.__dict__.setdefault("_obsidra_worker", {})
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64's constants)."""
     x = np.atleast_1d(x)  # arrays wrap around silently

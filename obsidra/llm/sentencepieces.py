@@ -17,6 +17,7 @@ an empty result. A decoded byte run that isn't UTF-8 gives U+FFFD.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_struct
+from .common import row_struct, worker_cache
 
 MARK = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct words kept between batches of a task.
+#: Distinct words kept between batches.
 CACHE_WORDS = 200_000
 
 
@@ -75,11 +76,13 @@ class PieceModel:
     ids: dict[str, int] = field(default_factory=dict)
     bytes_: list[int] = field(default_factory=list)
     unknown: int = 0
+    digest: str = ""
 
     def __post_init__(self) -> None:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         named = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.bytes_ = [named[f"<0x{b:02X}>"] for b in range(256)] if len(named) == 256 else []
+        self.digest = hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.merges, self.prefix)).encode()).hexdigest()
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
 
     def raw(self) -> list[bytes]:
@@ -119,12 +122,24 @@ class Encoder:
         self.model = model
         self.longest = max((len(p) for p in model.ids), default=1)
         inner = {c for p in model.ids for c in p if c != MARK and c in model.ids}
-        chars = "".join(re.escape(c) for c in sorted(inner))
-        self.cut = re.compile(f"{MARK}*[{chars}]+|{MARK}+|." if chars else f"{MARK}+|.", re.DOTALL)
-        self.lawful: dict[tuple[int, int], bool] = {}
+        # a word may be cut between a letter or digit and a sign that no piece has after one
+        tied = {b for p in model.ids for a, b in zip(p, p[1:]) if a.isalnum()}
+        letters, signs = {c for c in inner if c.isalnum()}, {c for c in inner if not c.isalnum()}
+        listed = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+        a, s, q = (listed(x) if x else "(?!)" for x in (letters, signs, signs & tied))
+        parts = [f"{MARK}*+(?:{a}++(?:{q}{s}*+{a}++)*+(?:{q}{s}*+)?+|{s}++(?:{a}++{q}{s}*+)*+{a}*+)"]
+        self.cut = re.compile("|".join([*parts, f"{MARK}+", "."]), re.DOTALL)
+        #: longest piece by its last three characters
+        self.reach: dict[str, int] = {}
+        for piece in model.ids:
+            if len(piece) > 2:
+                self.reach[piece[-3:]] = max(self.reach.get(piece[-3:], 0), len(piece))
+        self.lawful: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.stack: list = []
-        self.last = ""
+        #: forward states of the prefixes of the last word: last piece, its first character, score
+        self.last: list[int] = [-1]
+        self.begin: list[int] = [0]
+        self.best: list[float] = [0.0]
 
     def merged(self, text: str) -> list[int]:
         """Pieces of ``text`` by the model's merging order: highest score first, leftmost among equals."""
@@ -142,11 +157,8 @@ class Encoder:
         return [ids.get(p, -1) for p in parts]
 
     def follows(self, a: int, b: int) -> bool:
-        got = self.lawful.get((a, b))
-        if got is None:
-            pieces = self.model.pieces
-            got = self.lawful[a, b] = self.merged(pieces[a] + pieces[b]) == [a, b]
-        return got
+        pieces = self.model.pieces
+        return self.merged(pieces[a] + pieces[b]) == [a, b]
 
     def alone(self, c: str) -> tuple[int, ...]:
         if c in self.model.ids:
@@ -157,53 +169,60 @@ class Encoder:
 
     def forward(self, word: str, shared: int) -> tuple[int, ...]:
         """Ids of ``word``, whose first ``shared`` characters are those of the word before."""
-        ids, merges, scores, stack, longest = self.model.ids, self.model.merges, self.model.scores, self.stack, self.longest
-        if not stack:
-            stack.append((-1, 0, 0.0))
-        del stack[shared + 1 :]
+        get, reach, lawful, size = self.model.ids.get, self.reach.get, self.lawful, len(self.model.pieces)
+        merges, scores = self.model.merges, self.model.scores
+        last, begins, best = self.last, self.begin, self.best
+        del last[shared + 1 :], begins[shared + 1 :], best[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
+            longest = reach(word[end - 3 : end], 2) if end > 2 else end
             state = None
             for begin in range(max(0, end - longest), end):
-                got = ids.get(word[begin:end])
+                got = get(word[begin:end])
                 if got is None:
                     continue
-                before = stack[begin]
-                if merges:
-                    if begin and not self.follows(before[0], got):
+                if not merges:
+                    total = best[begin] + scores[got]
+                    if state is None or total > state[2]:
+                        state = (got, begin, total)
+                    continue
+                if begin:
+                    key = last[begin] * size + got
+                    ok = lawful.get(key)
+                    if ok is None:
+                        ok = lawful[key] = self.follows(last[begin], got)
+                    if not ok:
                         continue
-                    state = (got, begin, 0.0)
-                    break
-                total = before[2] + scores[got]
-                if state is None or total > state[2]:
-                    state = (got, begin, total)
+                state = (got, begin, 0.0)
+                break
             if state is None:
                 raise ValueError(f"no lawful segmentation of {word[:end]!r}")
-            stack.append(state)
+            last.append(state[0])
+            begins.append(state[1])
+            best.append(state[2])
         out = []
         end = len(word)
         while end:
-            got, end, _ = stack[end]
-            out.append(got)
-        return tuple(reversed(out))
+            out.append(last[end])
+            end = begins[end]
+        out.reverse()
+        return tuple(out)
 
     def learn(self, words: set[str]) -> None:
         """Adds the ids of ``words``, depth-first through their trie."""
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
         ids = self.model.ids
-        self.stack.clear()
         before = ""
         for word in sorted(words - self.words.keys()):
             if len(word) == 1 or word[-1] not in ids:
                 self.words[word] = self.alone(word)
                 continue
-            shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
             self.words[word] = self.forward(word, shared)
             before = word
+        del self.last[1:], self.begin[1:], self.best[1:]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's first; one more at the end)."""
@@ -246,7 +265,15 @@ class Decoder:
         return [t[1:] if self.prefix and t[:1] == b" " else t for t in out]
 
 
-def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def coders(model: PieceModel) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of the worker process, with what earlier tasks have learnt."""
+    cache = worker_cache()
+    if cache.get("pieces", ("",))[0] != model.digest:
+        cache["pieces"] = (model.digest, Encoder(model), Decoder(model))
+    return cache["pieces"][1:]
+
+
+def _parts(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     i = size = 0
     for j, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -265,7 +292,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
     schema = T.StructType([rows.schema["__row"], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(model), Decoder(model)
+        encoder, decoder = coders(model)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             for i, j in _parts(texts):
@@ -284,7 +311,7 @@ def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "ids") -> DataF
     schema = T.StructType([rows.schema["__row"], T.StructField("decoded_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        _, decoder = coders(model)
         for batch in batches:
             lists = batch.column("__ids")
             flat = lists.flatten().to_numpy(zero_copy_only=False)

@@ -16,6 +16,8 @@ own; an empty table gives an empty result; one source gets weight 1.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,6 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeat:
         if got[0] is None:
             return 1.0
         if target_entropy is not None:  # entropy falls as the exponent rises
-            import math
-
             enough = [math.log(got[f"z{i}"]) - got[f"e{i}"] / got[f"z{i}"] >= target_entropy for i in range(len(tries))]
             last = max((i for i, ok in enumerate(enough) if ok), default=0)
             low, high = tries[last], tries[min(last + 1, SECTIONS)]
@@ -61,7 +61,8 @@ def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeat:
             low, high = tries[max(first - 1, 0)], tries[first]
         if high <= low:
             break
-    return round(low if target_entropy is not None else high, 6)
+    # six digits, rounded to the side on which the target holds
+    return math.floor(low * 1e6) / 1e6 if target_entropy is not None else min(1.0, math.ceil(high * 1e6) / 1e6)
 
 
 def mix(
@@ -90,7 +91,7 @@ def mix(
         word_count(F.col(text_col)).alias("__tokens"),
         h.alias("__h"),
     ).withColumn("__block", F.shiftright(F.xxhash64("__h"), 64 - block_bits).cast("int"))
-    blocks = staged(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "mix-blocks")
+    blocks = staged(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "mix-blocks", small=True)
     totals = blocks.groupBy("__source").agg(F.sum("tokens").alias("source_tokens"))
     every = totals.agg(F.sum("source_tokens")).first()[0] or 1
     sources = totals.withColumn("share", F.col("source_tokens") / F.lit(float(every)))
@@ -116,7 +117,7 @@ def mix(
         .where("room > 0")
         .select("__source", "__block", "weight", "repeats", "epoch", "block_rank", "room", (F.col("room") < F.col("tokens")).alias("cut"))
     )
-    plan = staged(plan, "mix-plan")
+    plan = staged(plan, "mix-plan", small=True)
     hint = F.broadcast if plan.count() <= BROADCAST_ROWS else (lambda df: df)
     out = lambda df: df.select(
         "__row.*",

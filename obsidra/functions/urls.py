@@ -161,9 +161,9 @@ def same_url(a: Column, b: Column) -> Column:
     """Equal but for host case, fragment, default port and a final slash."""
 
     def plain(u: Column) -> Column:
-        bare = F.regexp_replace(F.substring_index(u, "#", 1), r"^(?i)(http)(s?)://", "$1$2://")
-        host = F.lower(F.regexp_extract(bare, r"^(https?://[^/?]*)", 1))
-        rest = F.regexp_replace(F.regexp_replace(bare, r"^https?://[^/?]*", ""), r"/(?=$|\?)", "")
+        bare = F.substring_index(u, "#", 1)
+        host = F.lower(F.regexp_extract(bare, r"(?i)^(https?://[^/?]*)", 1))
+        rest = F.regexp_replace(F.regexp_replace(bare, r"(?i)^https?://[^/?]*", ""), r"/(?=$|\?)", "")
         return F.concat(F.regexp_replace(F.regexp_replace(host, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1"), rest)
 
     return plain(a) == plain(b)

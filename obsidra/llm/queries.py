@@ -124,4 +124,46 @@ SELECT v.vec_id, coalesce(l.n, 0) AS n_links, least(v.vec_id, coalesce(r.m, v.ve
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON v.vec_id = l.a LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON v.vec_id = r.a
 """
 
-ORACLES: dict[str, str] = {"op4_pivot_range_join": OP4_SQL, "op1_recompression_dedup": OP1_SQL}
+
+
+def op5_sql() -> str:
+    """The scan in SQL, with one row per occurrence of a word instead of arrays."""
+    from .licenses import BASE, TEMPLATES
+
+    listed = ", ".join(f"({k}, '{t.label}', '{t.text}', {t.phrase_at}, {len(t.phrase.split())})" for k, t in enumerate(TEMPLATES))
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, i, '{label}' AS label FROM o WHERE words[i + 1 : i + {len(phrase.split())}] = {phrase.split()!r}" for phrase, label in BASE.items()
+    )
+    return rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), t(k, label, text, lead, phrase) AS (VALUES {listed}
+), p AS (
+    SELECT k, unnest(range(0, len(string_split(text, ' ')))) AS pos, unnest(string_split(text, ' ')) AS word FROM t
+), o AS (
+    SELECT doc_id, words, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM d
+), df AS (
+    SELECT v.word, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT word FROM p) v LEFT JOIN o ON v.word = o.word GROUP BY v.word
+), ranked AS (
+    SELECT word, row_number() OVER (ORDER BY n, word) AS r FROM df
+), looked AS (
+    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth, count(*) OVER (PARTITION BY doc_id) AS held FROM (SELECT DISTINCT doc_id, o.word, r FROM o JOIN ranked ON o.word = ranked.word)
+), place AS (
+    SELECT o.doc_id, p.k, o.i - p.pos AS off FROM o JOIN looked ON o.doc_id = looked.doc_id AND o.word = looked.word AND nth <= 6 AND held >= 2 JOIN p ON p.word = o.word GROUP BY ALL HAVING count(*) >= 2
+), aligned AS (
+    SELECT c.doc_id, t.label, t.phrase, count(*) AS size, count(*) FILTER (o.word = p.word) AS hits, count(*) FILTER (o.word = p.word AND p.pos >= t.lead AND p.pos < t.lead + t.phrase) AS held
+    FROM place c JOIN t ON c.k = t.k JOIN p ON p.k = t.k LEFT JOIN o ON o.doc_id = c.doc_id AND o.i = c.off + p.pos GROUP BY c.doc_id, c.k, c.off, t.label, t.phrase
+), found AS (
+    SELECT doc_id, label, CAST(hits AS DOUBLE) / size AS share FROM aligned WHERE held = phrase AND CAST(hits AS DOUBLE) / size >= 0.5
+), base AS ({base}
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+       coalesce(f.share, CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM d
+LEFT JOIN (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id) b ON d.doc_id = b.doc_id
+LEFT JOIN (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id) f ON d.doc_id = f.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found) GROUP BY doc_id) l ON d.doc_id = l.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op5_license_scan": op5_sql(), "op4_pivot_range_join": OP4_SQL, "op1_recompression_dedup": OP1_SQL}

@@ -29,13 +29,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Nodes of any orderable type; edges to itself and null ends are ignored. Every round writes its edges, so a lost
     executor costs one round at most. Ends when the edges are stars, which both rounds leave as they are.
     """
-    now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", small=True)
     for _ in range(rounds):
         # stars: no node is both the top of one edge and the bottom of another, and every top has one bottom
         tops = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         if now.select("v").distinct().join(tops, F.col("v") == F.col("u"), "left_semi").isEmpty() and tops.where("n > 1").isEmpty():
             break
-        now = staged(_star(_star(now, True), False), "edges")
+        now = staged(_star(_star(now, True), False), "edges", small=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -94,7 +94,7 @@ def best(x: np.ndarray, ids: np.ndarray, found: np.ndarray, query: np.ndarray, o
 def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of each row for which ``is_query`` holds."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
-    some = staged(rows.where(f"id is not null and {usable('v')}").withColumn("dim", F.size("v")), "search")
+    some = staged(rows.where(f"id is not null and {usable('v')}").withColumn("dim", F.size("v")), "search", small=True)
     stats = some.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + cast(x as double) * cast(x as double))")).alias("m"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     shards = max(1, -(-stats["n"] // SHARD_ROWS))
     blocks = max(1, -(-stats["q"] // BLOCK_QUERIES))

@@ -92,7 +92,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     takes_part = f"id is not null and label is not null and {usable('v')}"
     some = rows.where(takes_part)
     # a node number of its own for each different vector, fixed by writing it: ids may repeat
-    reps = staged(some.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors").withColumn("dim", F.size("v"))
+    reps = staged(some.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors", small=True).withColumn("dim", F.size("v"))
     largest = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     k = min(MOST_PIVOTS, max(1, largest // CELL_ROWS))
     # a bounded sample: the k vectors of the most frequent length with the smallest hash
@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
             visits[i] = np.zeros(1, np.int32)  # other lengths have one cell
         return pd.DataFrame({"home": homes.astype(np.int32), "visits": visits})
 
-    cells = staged(reps.withColumn("p", placed("v")).select("label", "dim", F.col("node").alias("id"), "v", "copies", F.col("p.home").alias("home"), F.explode("p.visits").alias("cell")), "cells")
+    cells = staged(reps.withColumn("p", placed("v")).select("label", "dim", F.col("node").alias("id"), "v", "copies", F.col("p.home").alias("home"), F.explode("p.visits").alias("cell")), "cells", small=True)
     key = ["label", "dim", "cell"]
     sizes = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.count(F.when(F.col("home") == F.col("cell"), 1)) / BLOCK_ROWS).cast("int").alias("homes"))
     sized = cells.join(sizes, key).where("homes > 0")
@@ -139,7 +139,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
             }
         )
 
-    found = staged(home.unionByName(all_).groupBy(*key, "a", "b").applyInArrow(joined, "id long, other long, links long"), "links")
+    found = staged(home.unionByName(all_).groupBy(*key, "a", "b").applyInArrow(joined, "id long, other long, links long"), "links", small=True)
     counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links")).select(F.col("id").alias("n1"), "links")
     parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("n2"), "component")
     known = (

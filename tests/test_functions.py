@@ -307,3 +307,36 @@ def test_streams(spark, tmp_path):
     budget = spark.readStream.schema(stream.schema).parquet(str(folder)).select(F.lit("s").alias("scope"), F.lit("w").alias("window"), F.lit(3.0).alias("cost"))
     streams.budget_stream(budget, 5.0).writeStream.format("memory").queryName("granted").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r["granted"] for r in spark.table("granted").collect()) == [False, True]
+
+
+def test_materials_and_checks(spark):
+    from obsidra.operators import checks
+    from obsidra.sources import materials
+
+    page = '<html><head><title>T</title><meta property="article:published_time" content="2024-01-02T03:04:05Z"></head></html>'
+    captures = spark.createDataFrame([("https://e.com/a#x", "https://e.com/a", "https://e.com/a", "s", "o1", "text/html", 200, None, page)], "url string, final_url string, canonical_url string, source_id string, observation_id string, media_type string, status int, etag string, body string").withColumn("fetched_at", F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    m = materials.web_materials(captures)
+    row = m.first()
+    assert row["material_id"].startswith("web:") and row["format"]["content_kind"] == "page" and row["metadata"]["title"] == "T" and str(row["published_at"]) == "2024-01-02 03:04:05"
+    assert "data" not in materials.without_content(m).first()["content"].asDict()
+    index = b"<sitemapindex><sitemap><loc>https://e.com/s1</loc></sitemap><sitemap><loc>https://e.com/s2</loc></sitemap></sitemapindex>"
+    one_ = b"<urlset><url><loc>https://e.com/1</loc><lastmod>2024</lastmod></url></urlset>"
+    bodies = spark.createDataFrame([("https://e.com/sitemap.xml", bytearray(index)), ("https://e.com/s1", bytearray(one_)), ("https://e.com/s2", bytearray(one_))], "url string, body binary")
+    roots = materials.robots_roots(spark.createDataFrame([("https://e.com/robots.txt", "User-agent: *")], "url string, body string"))
+    assert [tuple(r) for r in materials.sitemap_walk(bodies, roots).collect()] == [("https://e.com/1", "2024")]
+    pages_ = spark.createDataFrame([("a", 1, ["x", "y"], "c1"), ("a", 2, ["y", "z"], "c2"), ("a", 3, ["y"], "c3"), ("a", 4, ["new"], "c4")], "feed string, n int, items array<string>, cur string")
+    assert [r["n"] for r in materials.api_pages(pages_, "feed", "n", "items", "cur").orderBy("n").collect()] == [1, 2]
+    trace = spark.createDataFrame([("h", f"2024-01-01 00:00:0{i}") for i in range(6)], "host string, start string").withColumn("start", F.to_timestamp("start"))
+    assert checks.politeness(trace, 1.0, 0.1).first()["verdict"] == "pass" and checks.politeness(trace, 2.0, 0.1).first()["verdict"] == "fail"
+    tries = spark.createDataFrame([("/a", "2024-01-01 00:00:00", 500), ("/a", "2024-01-01 00:00:01", 500), ("/a", "2024-01-01 00:00:03", 200), ("/b", "2024-01-01 00:00:00", 500), ("/b", "2024-01-01 00:00:00.2", 500)], "path string, start string, status int").withColumn("start", F.to_timestamp("start"))
+    assert {r["path"]: r["ok"] for r in checks.retry_checks(tries, 3, 1000, 2, 10000).collect()} == {"/a": True, "/b": False}
+    assert checks.request_interval(2, 800) == 0.8 and checks.estimated_materials({"strategies": [{"type": "url_template", "values": {"a": [1, 2], "b": [1, 2, 3]}}], "max_materials": 5}) == 5
+    assert checks.contract_breaks({"properties": {"a": {"type": "string"}}}, {"properties": {"a": {"type": "integer"}}, "required": ["a"]}) == [("/a", "now required"), ("/a", "type changed")]
+    assert checks.example_of({"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 3}}}) == {"n": 3}
+    assert checks.sanitized_rules({"strategies": [{"urls": ["https://x.com/", "https://m.e.com/"]}]}, ["e.com"])["strategies"] == [{"urls": ["https://m.e.com/"]}]
+    reserve = spark.createDataFrame([(i, "a" if i < 8 else "b") for i in range(10)], "i int, shape string")
+    counts = checks.sample_until(reserve, "shape", "i", lambda d: d.select("i", F.upper("shape")), lambda c: len(c) == 2, 2, 6)
+    assert counts == {"A": 1, "B": 1}
+    catalogue = spark.createDataFrame([("a", "news of kyiv"), ("b", "shop")], "id string, title string")
+    assert [r["id"] for r in materials.search_sources(catalogue, "kyiv news", ["title"]).collect()] == ["a"]
+    assert checks.verify_projection(spark.createDataFrame([("k", 1), ("l", 1)], "canonical_key string, version int"), spark.createDataFrame([("k", 1)], "canonical_key string, version int")).count() == 1

@@ -6,7 +6,7 @@ weights of a text's features (each distinct feature once) and ordered thresholds
 P(grade >= k) = logistic(z - c_k). It gives each text an expected grade and tail probabilities.
 
 Training uses at most ``max_labels`` rated rows (a documented bound: the rows with the smallest hash of their id);
-features seen in fewer than ``min_docs`` training texts keep weight 0. Scoring covers every row and whole texts.
+features in fewer than ``min_docs`` training texts, or no more frequent in some grade than chance explains, keep weight 0. Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has z = 0; null ratings are left out; several ratings of one text all count;
 without any rating every row is kept with null probabilities; repeated rows get equal results; extra columns pass.
@@ -63,14 +63,24 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def fit_ordinal(owner: np.ndarray, place: np.ndarray, grades: np.ndarray, bits: int, min_docs: int, steps: int = 200, l2: float = 2e-4) -> OrdinalModel:
-    """Full-batch Adam on the mean of the cumulative-link log loss."""
-    n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 1
+def telling(owner: np.ndarray, place: np.ndarray, reached: np.ndarray, bits: int, min_docs: int, min_z: float) -> np.ndarray:
+    """Features whose texts reach some grade more or less often than chance would have it, by ``min_z`` deviations."""
     seen = np.bincount(place, minlength=1 << bits)
-    use = seen[place] >= min_docs
+    out = np.zeros(1 << bits, bool)
+    for column in reached.T:
+        share = column.mean()
+        hits = np.bincount(place, column[owner].astype(float), minlength=1 << bits)
+        out |= np.abs(hits - seen * share) >= min_z * np.sqrt(seen * share * (1 - share) + 1e-9)
+    return out & (seen >= min_docs)
+
+
+def fit_ordinal(owner: np.ndarray, place: np.ndarray, grades: np.ndarray, bits: int, min_docs: int = 3, min_z: float = 4.5, steps: int = 200, l2: float = 2e-4) -> OrdinalModel:
+    """Full-batch Adam on the mean of the cumulative-link log loss, over the telling features."""
+    n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 1
+    reached = grades[:, None] >= np.arange(1, levels)[None, :]
+    use = telling(owner, place, reached, bits, min_docs, min_z)[place]
     owner, place = owner[use], place[use]
     columns, place = np.unique(place, return_inverse=True)
-    reached = grades[:, None] >= np.arange(1, levels)[None, :]
     share = np.clip(reached.mean(0), 1e-3, 1 - 1e-3)
     cuts = -np.log(share / (1 - share))
     w = np.zeros(len(columns))
@@ -90,7 +100,7 @@ def fit_ordinal(owner: np.ndarray, place: np.ndarray, grades: np.ndarray, bits:
     return OrdinalModel(weights, x[len(columns) :].copy())
 
 
-def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_labels: int = 6000, min_docs: int = 5, bits: int = 18) -> OrdinalModel | None:
+def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_labels: int = 6000, min_docs: int = 3, bits: int = 18) -> OrdinalModel | None:
     """A model of ``ratings`` (id, grade 0..K); None when there is none."""
     rated = ratings.select(F.col(id_col).alias("__id"), F.col(grade_col).cast("int").alias("__grade")).where("__id is not null and __grade >= 0")
     sample = rated.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(max_labels)  # bounded, so the broadcast is
@@ -115,7 +125,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit_ordinal(np.repeat(np.arange(len(grades)), lengths), np.asarray(lists.flatten()).astype(np.int64), grades, bits, min_docs)
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", min_tail: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", min_tail: float = 0.4) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of the highest grade), grade and kept."""
     added = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("kept", T.BooleanType())]
     names = {f.name for f in added}

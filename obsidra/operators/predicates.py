@@ -270,3 +270,8 @@ def match_rules(materials: DataFrame, stages: Sequence[Mapping[str, Any]], mater
     """``materials`` with ``stages``: the ids of all stages whose bindings match. Rules become expressions, no join."""
     hits = [F.when(bindings(s.get("bindings"), material, task_source), F.lit(s["stage_id"])) for s in stages]
     return materials.withColumn("stages", F.filter(F.array(*hits), lambda x: x.isNotNull()))
+
+
+def tasks_by_package(stages: Column, package_id: str) -> Column:
+    """Whether a task's stages (array of structs with handler.package_id) use a package."""
+    return F.coalesce(F.exists(stages, lambda s: s["handler"]["package_id"] == package_id), F.lit(False))

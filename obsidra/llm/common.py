@@ -60,10 +60,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, most: int = 20) -> int:
-    """log2 of the number of groups that keeps a group near ``bytes_per_group``."""
-    groups = max(1, plan_bytes(df) // bytes_per_group)
-    return min(most, max(least, int(groups).bit_length()))
+def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, most: int = 24) -> int:
+    """log2 of the number of groups that keeps a group near ``bytes_per_group``.
+
+    Where Catalyst knows no size (or only a product of sizes, beyond a petabyte), the session's shuffle partitions count.
+    """
+    size = plan_bytes(df)
+    groups = size // bytes_per_group if size < 1 << 50 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(least, max(1, groups).bit_length()))
 
 
 def worker_cache() -> dict:

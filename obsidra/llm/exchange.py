@@ -20,13 +20,14 @@ def grouped_documents(docs: DataFrame, bits: int, id_col: str, text_col: str, re
     """(__row, __id, __text, __mark, __group): other columns, id, text, text hash and the hash range it falls into."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     mark = F.xxhash64(F.col(id_col), text)
-    return docs.select(
+    grouped = docs.select(
         row_struct(docs, (text_col, *replaced)).alias("__row"),
         F.col(id_col).cast("long").alias("__id"),
         text.alias("__text"),
         mark.alias("__mark"),
         F.shiftright(mark, 64 - bits).cast("int").alias("__group"),
     )
+    return grouped.repartition(1 << bits, "__group")  # tasks follow the data, whatever the session's setting
 
 
 def packed(*arrays: np.ndarray) -> bytes:

@@ -141,34 +141,50 @@ def _runs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rises, length), (np.repeat(end, length) - np.arange(n)).astype(np.int32)
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rank of each key from 1, different keys)."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = up = np.cumsum(new)
+    return rank, int(up[-1]) if len(up) else 0
+
+
 def _leftmost(text: np.ndarray, kind: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The leftmost S suffixes ``at`` in order, each with the letters it shares with the one before it."""
     m = len(at)
-    # letters with types: no substring is then the beginning of another
-    marked = (text.astype(np.uint16) * 2 + kind).astype(">u2").tobytes()
+    # letters with types (9 bits): no substring is then the beginning of another, so padding with 0 keeps the order
+    marked = text.astype(np.int64) * 2 + kind
     ends = np.append(at[1:] + 1, len(text))
-    parts = [marked[2 * a : 2 * b] for a, b in zip(at.tolist(), ends.tolist())]
-    ordered = sorted(set(parts))
-    number = {p: i for i, p in enumerate(ordered, 1)}
-    rank = np.fromiter((number[p] for p in parts), np.int64, m)
+    length = ends - at
+    head = np.zeros(m, np.int64)
+    for k in range(7):
+        head <<= 9
+        inside = length > k
+        head[inside] |= marked[at[inside] + k]
+    # what is longer than seven letters is told apart by its bytes
+    long = np.flatnonzero(length > 7)
+    rest = np.zeros(m, np.int64)
+    if len(long):
+        raw = marked.astype(">u2").tobytes()
+        parts = [raw[2 * a : 2 * b] for a, b in zip(at[long].tolist(), ends[long].tolist())]
+        number = {p: i for i, p in enumerate(sorted(set(parts)), 1)}
+        rest[long] = np.fromiter((number[p] for p in parts), np.int64, len(parts))
+    rank, _ = _ranked(head)
+    rank, distinct = _ranked(rank * (int(rest.max(initial=0)) + 1) + rest)
     ranks, step = [rank], 1
     where = np.append(at, len(text))
-    while len(ordered) < m and step < m:
+    while distinct < m and step < m:
         reach = where[np.minimum(np.arange(m) + step, m)] - at
         if (reach[: m - step] >= depth).all():
             break
         following = np.zeros(m, np.int64)
         following[: m - step] = rank[step:]
-        key = rank * (m + 1) + following
-        order = np.argsort(key)
-        new = np.ones(m, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(new)
+        rank, distinct = _ranked(rank * (m + 1) + following)
         ranks.append(rank)
         step *= 2
-        if new.all():
-            break
     order = np.argsort(rank, kind="stable")
     # common prefixes: skip equal names from the longest step down, then compare letters
     a, b = order[:-1].copy(), order[1:].copy()

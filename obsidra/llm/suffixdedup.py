@@ -2,9 +2,9 @@
 
 Three rounds. (1) Each window of ``width`` bytes is filed under the least fingerprint of its ``GRAM``-byte strings; names
 are counted over the corpus and those at one place drop out: equal windows have equal names, so no repeat is lost.
-(2) Runs of windows under one shared name (with all their bytes) go to the shard of that name, where equal runs count
-once or twice, and the shard's suffix array is built by external induced sorting (:mod:`.induced`): suffixes whose
-common prefix with a neighbour reaches ``width`` are the repeats. (3) Each document drops the bytes they cover.
+(2) Runs of windows under one shared name (with all their bytes) go to the shard of that name, where equal runs
+become one with a number, and the shard's suffix array is built by external induced sorting (:mod:`.induced`): suffixes
+whose common prefix with a neighbour (or a copy) reaches ``width`` are the repeats. (3) Each document drops the bytes they cover.
 
 Matches never cross documents: a byte that UTF-8 has not stands between the runs. All copies of a repeat go, the first
 one too; overlaps of a text with itself count.
@@ -157,17 +157,19 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
                 copies[i] += count
                 mine.append((i, count))
             held.append(mine)
-        # a third copy changes nothing: two make all its windows repeats
-        text = BORDER.join(run for run, i in number.items() for _ in range(min(2, copies[i])))
+        # equal runs are sorted once: a suffix of one that has copies shares all its bytes with its neighbours, theirs
+        text = BORDER.join(number)
         flags = repeated(np.frombuffer(text, np.uint8), width)
         del text
         spans: list[tuple[list[int], list[int]]] = []
         at = 0
         for run, i in number.items():
             mark = flags[at : at + len(run) - width + 1]
+            if copies[i] > 1:
+                mark[:] = True
             step = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
             spans.append((step[::2].tolist(), (step[1::2] - step[::2]).tolist()))
-            at += (len(run) + 1) * min(2, copies[i])
+            at += len(run) + 1
         groups, starts, lengths = [], [], []
         for mine, group, where in zip(held, table.column("group").to_pylist(), table.column("starts").to_pylist()):
             where = np.frombuffer(where, np.int64).tolist()
@@ -220,7 +222,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
         return pa.table([left.column("__row"), *(c.take(at) for c in cols)], names=["__row", *[f.name for f in added]])
 
     by_group = grouped.groupBy("__group")
-    shared = by_group.applyInArrow(name_texts, "range int, group int, names binary, often binary").groupBy("range").applyInArrow(shared_names, "group int, names binary")
+    shared = by_group.applyInArrow(name_texts, "range int, group int, names binary, often binary").repartition(1 << bits, "range").groupBy("range").applyInArrow(shared_names, "group int, names binary")
     sent = by_group.cogroup(shared.groupBy("group")).applyInArrow(runs, "range int, group int, bytes binary, lengths binary, counts binary, starts binary")
-    found = sent.groupBy("range").applyInArrow(sort_shard, "group int, starts binary, lengths binary")
+    found = sent.repartition(1 << ranges, "range").groupBy("range").applyInArrow(sort_shard, "group int, starts binary, lengths binary")
     return by_group.cogroup(found.groupBy("group")).applyInArrow(remove, schema).select("__row.*", *[f.name for f in added])

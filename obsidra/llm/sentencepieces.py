@@ -34,8 +34,8 @@ from .common import row_struct, worker_cache
 MARK = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct words kept between batches.
-CACHE_WORDS = 200_000
+#: Distinct words kept between batches of a task.
+CACHE_WORDS = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -266,7 +266,7 @@ class Decoder:
 
 
 def coders(model: PieceModel) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of the worker process, with what earlier tasks have learnt."""
+    """Encoder and decoder of the worker process, with the lawful pairs that earlier tasks have learnt."""
     cache = worker_cache()
     if cache.get("pieces", ("",))[0] != model.digest:
         cache["pieces"] = (model.digest, Encoder(model), Decoder(model))
@@ -301,6 +301,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
                 same = [b == t.replace(MARK, " ").encode() for b, t in zip(back, texts[i:j])]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, j - i), pa.array(np.diff(bounds)), lists, pa.array(same, pa.bool_())], ["__row", *[f.name for f in added]])
+        encoder.words.clear()  # other stages need the worker's memory
 
     return rows.mapInArrow(run, schema).select("__row.*", *[f.name for f in added])
 

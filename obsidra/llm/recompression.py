@@ -265,7 +265,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         )
 
     by_group = grouped.groupBy("__group")
-    counted = by_group.applyInArrow(name_texts, "range int, group int, names binary, often binary").groupBy("range").applyInArrow(shared_names, "group int, names binary")
-    met = by_group.cogroup(counted.groupBy("group")).applyInArrow(windows, "range int, group int, windows binary").groupBy("range").applyInArrow(first_windows, "group int, later binary")
+    counted = by_group.applyInArrow(name_texts, "range int, group int, names binary, often binary").repartition(1 << bits, "range").groupBy("range").applyInArrow(shared_names, "group int, names binary")
+    met = by_group.cogroup(counted.groupBy("group")).applyInArrow(windows, "range int, group int, windows binary").repartition(1 << bits, "range").groupBy("range").applyInArrow(first_windows, "group int, later binary")
     out = by_group.cogroup(met.groupBy("group")).applyInArrow(remove, schema)
     return out.select("__row.*", *[f.name for f in added])

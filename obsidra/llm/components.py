@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over edges (u, v) with u > v."""
+#: Edges up to which the least neighbours are broadcast instead of shuffled to a hub's edges.
+BROADCAST_EDGES = 200_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One star round over edges (u, v) with u > v; ``few``: at most BROADCAST_EDGES of them, as counted."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    joined = both.join(F.broadcast(least) if few else least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         tops = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         if now.select("v").distinct().join(tops, F.col("v") == F.col("u"), "left_semi").isEmpty() and tops.where("n > 1").isEmpty():
             break
-        now = staged(_star(_star(now, True), False), "edges", small=True)
+        few = now.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+        now = staged(_star(_star(now, True, few), False, few), "edges", small=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

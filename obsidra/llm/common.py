@@ -60,6 +60,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan too small to be cut into a quarter of a split per core, dealt to all cores; a larger one as it is, unshuffled."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if plan_bytes(df) * 4 < cores * split else df
+
+
 def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, most: int = 24) -> int:
     """log2 of the number of groups that keeps a group near ``bytes_per_group``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, spread
 
 
 def op1_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode, load
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode(docs, load(PIECE_MODEL)).select("doc_id", "n_ids", "ids", "round_trip")
 
 
@@ -45,7 +45,7 @@ def op4_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
-    return scan(read_table(spark, sf_dir, "documents")).drop("matches")
+    return scan(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("matches")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +58,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orderhash import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import graded, score, train
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = train(docs, graded(read_table(spark, sf_dir, "labels")))
     return score(docs, model).drop("text")
 
@@ -72,7 +72,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False)
+    return mix(spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")), with_text=False)
 
 
 def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 A sketch takes the ``tuple_size`` smallest of a text's occurrence-labelled shingles (word 5-grams; the n-th occurrence
 of a shingle is a shingle of its own) under one hash order and keeps them in the order of the text; so equal sketches
 ask for equal content in equal order. Each of ``sketches`` sketches is a bucket key, and so is each pair of neighbouring
-sketches. In every bucket all members are compared with the smallest one (the hub): no pairs of a group are listed, and
-copies of a text count as one before that. A candidate pair is linked when the banded edit distance of the two word
+sketches. Copies of a text count as one. A candidate pair is linked when the banded edit distance of the two word
 sequences is at most (1 - similarity) * the longer length. The band is exactly as wide as that bound, so the
 verification is exact. Classes are connected components of the links.
 
-A bucket in which a member is unlike the hub leaves that pair to the other ``2 * sketches - 1`` buckets: two texts of
-five-word similarity 0.8 share about ten of sixteen sketches.
+Two rounds decide every pair of every bucket. (1) All members of a bucket meet its smallest one (the hub). (2) Where the
+members of a bucket fell into several components, each two of different ones that lengths and bags allow are compared, in
+blocks that hold a text once, until links join them. A bag counts a text's words by hash; one edit moves one word of each
+bag, so what bags rule out is never similar. A pair of several buckets is compared in that of its first equal sketch
+(pairs of sketches only elect more hubs: who shares one shares both sketches).
 
 Defined cases: texts with equal word sequences (null and empty ones too: no words) are one class; a text with fewer
 than five words has itself as its one shingle, so only copies match; ties of ids go to the text hash; a null id is
@@ -33,6 +35,11 @@ from .components import components
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
 #: Members of one hub that are verified in one group.
 GROUP_MEMBERS = 64
+#: Bins of a text's bag of words.
+BAG = 64
+#: Members of one bucket in a block; larger buckets are compared block by block.
+BLOCK_MEMBERS = 1024
+BLOCK_COLUMNS = ["key", "low", "high", "place", "id", "mark", "component", "partners"]
 #: Rows about large hubs, or about classes, that are broadcast at most; more are joined by shuffling.
 BROADCAST_HUBS = 100_000
 
@@ -141,8 +148,21 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9))
 
 
+def bags(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, BAG) words of each text by hash, 255 at most; a cut count only lowers differences."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * BAG + (h[first[0] : first[-1]] % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+
+
+def least_distances(bag: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What the edit distances of a text and others are at least, by their bags."""
+    step = others.astype(np.int16) - bag.astype(np.int16)
+    return np.maximum(np.maximum(step, 0).sum(axis=1), np.maximum(-step, 0).sum(axis=1))
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, words, sketches) of every row; mark: 128-bit digest of the word sequence."""
+    """(id, mark, words, sketches, bag) of every row; mark: 128-bit digest of the word sequence."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +172,14 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = offsets[i : j + 1]
                 h, first = word_hashes(data[part[0] : part[-1]], part - part[0])
                 found = order_sketches(h, first)
+                held = bags(h, first)
                 marks = [_digest(h[a:b]) for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCHES), pa.array(found.view(np.int64).ravel()))],
-                    ["id", "mark", "words", "sketches"],
+                    [batch.column("id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCHES), pa.array(found.view(np.int64).ravel())), pa.array([b.tobytes() for b in held], pa.binary())],
+                    ["id", "mark", "words", "sketches", "bag"],
                 )
 
-    return rows.mapInArrow(run, "id long, mark binary, words long, sketches array<long>")
+    return rows.mapInArrow(run, "id long, mark binary, words long, sketches array<long>, bag binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -176,23 +197,29 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     """(rows with id and mark; different texts with mark, class_id, head and class_rows)."""
     rows = staged(sketch_table(docs, id_col, text_col), "sketches")
     # copies count once; the smallest id stands for them
-    texts = rows.groupBy("mark").agg(F.min(F.struct(F.col("id"), F.col("words"))).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches")).select(F.col("least.id").alias("id"), "mark", F.col("least.words").alias("words"), "copies", "sketches")
+    texts = rows.groupBy("mark").agg(F.min(F.struct(F.col("id"), F.col("words"))).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag")).select(F.col("least.id").alias("id"), "mark", F.col("least.words").alias("words"), "copies", "sketches", "bag")
     keys = F.expr(
         f"flatten(transform(sequence(0, {SKETCHES - 1}), i -> array(xxhash64(i, sketches[i]), xxhash64(i, sketches[i], sketches[(i + 1) % {SKETCHES}]))))"
     )
-    bucketed = texts.where("words > 0").select("id", "mark", "words", F.explode(keys).alias("key"))
-    hubs = bucketed.groupBy("key").agg(F.min(F.struct("id", "mark", "words")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    bucketed = texts.where("words > 0").select("id", "mark", "words", F.posexplode(keys).alias("at", "key"))
+    hubs = bucketed.groupBy("key").agg(F.min(F.struct("id", "mark", "words")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = staged(bucketed.join(hubs, "key").where("mark != hub.mark"), "met")
     # lengths too far apart can't be similar
     pairs = staged(
-        bucketed.join(hubs, "key")
-        .where(f"mark != hub.mark and least(words, hub.words) >= {similarity} * greatest(words, hub.words) - 1e-6")
+        met.where(f"least(words, hub.words) >= {similarity} * greatest(words, hub.words) - 1e-6")
         .select("id", "mark", F.col("hub.id").alias("hub_id"), F.col("hub.mark").alias("hub"))
         .distinct(),
         "pairs",
         small=True,
     )
-    links = _verified(docs, pairs, id_col, text_col, similarity)
+    links = staged(_verified(docs, pairs, id_col, text_col, similarity), "links")
     found = components(links.select(F.col("mark").alias("a"), F.col("hub").alias("b")))
+    # the hub has met them all; every second key is of one sketch
+    others = met.where("n > 2 and at % 2 = 0").select("key", F.expr("cast(at / 2 as int)").alias("sketch"), "id", "mark", "words")
+    undecided = staged(_undecided(others, texts.select("mark", "sketches", "bag"), found, similarity), "undecided")
+    if not undecided.isEmpty():
+        links = links.unionByName(staged(_compared(docs, undecided, id_col, text_col, similarity), "links"))
+        found = components(links.select(F.col("mark").alias("a"), F.col("hub").alias("b")))
     linked = texts.select("id", "mark", "copies").join(found, F.col("mark") == F.col("node")).select("id", "mark", "copies", "component")
     heads = linked.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("head"), F.sum("copies").alias("rows"))
     heads = F.broadcast(heads) if heads.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS else heads
@@ -201,6 +228,80 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     return rows, labelled.select("mark", F.col("head.id").alias("class_id"), F.col("head.mark").alias("head"), F.coalesce("rows", "copies").alias("class_rows"))
 
 
+def _undecided(others: DataFrame, held: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, low, high, place, id, mark, component, partners) of the members of a block (key, low, high) with pairs to compare.
+
+    ``partners``: places (packed int32) of smaller place in another component that lengths and bags don't rule out.
+    """
+    placed = others.join(found, F.col("mark") == F.col("node"), "left").select("key", "sketch", "id", "mark", "words", F.coalesce("component", "mark").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("parts")).where("least < most").select("key", "parts")
+    members = placed.join(split, "key").join(held, "mark").withColumn("own", F.pmod(F.xxhash64("mark", "key"), F.col("parts")).cast("int"))
+    # every two parts of a bucket meet once
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sketch", "id", "mark", "words", "component", "sketches", "bag")
+
+    def choose(key, table):
+        table = table.sort_by("words")
+        words, own = (table.column(c).to_numpy() for c in ("words", "own"))
+        number: dict[bytes, int] = {}
+        component = np.array([number.setdefault(c, len(number)) for c in table.column("component").to_pylist()])
+        bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+        sketch = table.column("sketch")[0].as_py()
+        earlier = table.column("sketches").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)[:, :sketch]
+        most = ((1 - similarity) * words + 1e-9).astype(np.int64)
+        begin = np.searchsorted(words, words - most)  # shorter ones are too short for this one
+        partners, used = [], np.zeros(len(words), bool)
+        for i, a in enumerate(begin.tolist()):
+            near = a + np.flatnonzero((component[a:i] != component[i]) & ((own[a:i] != own[i]) | (key[1] == key[2])))
+            near = near[~(earlier[near] == earlier[i]).any(axis=1)]
+            near = near[least_distances(bag[i], bag[near]) <= most[i]]
+            used[near] = True
+            used[i] |= len(near) > 0
+            partners.append(near.astype(np.int32).tobytes())
+        at = np.flatnonzero(used)
+        few = table.select(["key", "low", "high", "id", "mark", "component"]).take(pa.array(at))
+        return few.append_column("place", pa.array(at)).append_column("partners", pa.array([partners[i] for i in at], pa.binary())).select(BLOCK_COLUMNS)
+
+    schema = "key long, low int, high int, place long, id long, mark binary, component binary, partners binary"
+    return blocks.groupBy("key", "low", "high").applyInArrow(lambda key, table: choose([k.as_py() for k in key], table), schema)
+
+
+def _compared(docs: DataFrame, undecided: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Links (mark, hub) that join the components of each block as far as its undecided pairs are similar."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    joined = texts.join(undecided.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("id"))).select(*[c for c in BLOCK_COLUMNS if c != "id"], "__text")
+
+    def compare(table):
+        data, offsets = text_buffers(table.column("__text"))
+        raw = data.tobytes()
+        h, first = word_hashes(data, offsets)
+        marks, places, component, partners = (table.column(c).to_pylist() for c in ("mark", "place", "component", "partners"))
+        # an id may stand for several texts: only the row with the digest asked for counts
+        rows = {places[r]: r for r in range(len(marks)) if marks[r] == _digest(h[first[r] : first[r + 1]])}
+        words = lambda r: raw[offsets[r] : offsets[r + 1]].split()
+        parent: dict[bytes, bytes] = {}
+
+        def top(c):
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        good = []
+        for r in rows.values():
+            mine = None
+            for place in np.frombuffer(partners[r], np.int32).tolist():
+                p = rows.get(place)
+                if p is None or (a := top(component[r])) == (b := top(component[p])):
+                    continue
+                mine = mine or words(r)
+                if similar(mine, words(p), similarity):
+                    parent[a] = b
+                    good.append((marks[r], marks[p]))
+        return pa.table({"mark": pa.array([a for a, _ in good], pa.binary()), "hub": pa.array([b for _, b in good], pa.binary())})
+
+    return joined.groupBy("key", "low", "high").applyInArrow(compare, "mark binary, hub binary")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """The ``pairs`` (id, mark, hub_id, hub) whose texts are similar.
 

@@ -278,6 +278,47 @@ def test_order_minhash_finds_near_copies(spark):
     assert orderhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_order_minhash_decides_every_pair_of_a_bucket(spark, block, monkeypatch):
+    monkeypatch.setattr(orderhash, "BLOCK_MEMBERS", block)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.sample(words, 90)
+    # id 0 holds the passage and is unlike all; copies share it and every second word of a tail, so no shingle but its own
+    rows = [(0, " ".join(passage + rng.sample(words, 30)), "s"), (1, " ".join(passage[:60]), "s"), (None, " ".join(passage + rng.sample(words, 60)), "s")]
+    for i in range(8):
+        tail = rng.sample(words, 30)
+        rows.append((900 - i, " ".join(passage + tail), "s"))
+        rows += [(10 + 3 * i + k, " ".join(passage + [x if n % 2 else rng.choice(words) for n, x in enumerate(tail)]), "s") for k in range(3)]
+    split = [t.split() for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if distance(split[a], split[b]) <= 0.2 * max(len(split[a]), len(split[b])) + 1e-9:
+                parent[root(a)] = root(b)
+    least = defaultdict(lambda: 10**9)
+    for a, (i, _, _) in enumerate(rows):
+        least[root(a)] = min(least[root(a)], -1 if i is None else i)
+    assert len(set(map(root, range(len(rows))))) == 11
+    got = {r["doc_id"]: r["class_id"] for r in orderhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: None if least[root(a)] < 0 else least[root(a)] for a, (i, _, _) in enumerate(rows)}
+
+
+def test_bags_never_exceed_the_distance():
+    rng = random.Random(14)
+    for _ in range(300):
+        a, b = ([rng.randrange(300) for _ in range(rng.randrange(1, 30))] for _ in "ab")
+        h = np.array(a + b, np.uint64)
+        held = orderhash.bags(h, np.array([0, len(a), len(a) + len(b)]))
+        assert orderhash.least_distances(held[0], held[1:])[0] <= distance(a, b)
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]

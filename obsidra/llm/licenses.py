@@ -1,8 +1,8 @@
 """License scan: a positional rare-token index over license templates, in DataFrame functions only.
 
 A text's words are compared with templates in three steps. (1) Document frequencies of all template words are counted
-over the whole corpus; a text looks up the ``keys`` licence words it holds with the highest IDF. (2) Every place of
-such a word votes for (template, place - position in the template): the postings of several words are intersected by
+over the whole corpus; each template is looked up by the ``min_votes`` words of its key phrase with the highest IDF. A match
+has the whole phrase, so these words find every match, whatever else the text holds. (2) Every place of such a word votes for (template, place - position in the template): the postings of several words are intersected by
 relative position. (3) At each place voted for by enough words the template's mandatory key phrase must stand word for
 word, and half of the template's words must stand in their positions.
 
@@ -89,7 +89,7 @@ def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[dict[
     return counts, counts.pop("", 0)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, keys: int = 6, min_votes: int = 2, min_share: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, min_votes: int = 2, min_share: float = 0.5) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches."""
     cores = docs.select(F.col(id_col).alias("__id"), normal(F.col(text_col)).alias("__core"))
     split = cores.select("__id", "__core", F.when(F.col("__core") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("__core", " ", -1)).alias("__words"))
@@ -98,18 +98,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary}
     ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))  # highest IDF first
     quoted = lambda w: "'" + w + "'"  # noqa: E731  words are ASCII letters and digits
-    ranks = "map(" + ", ".join(f"{quoted(w)}, {i}" for i, w in enumerate(ranked)) + ")"
-    votes = "map(" + ", ".join(
-        f"{quoted(w)}, array(" + ", ".join(f"struct({k} as t, {p} as p)" for k, t in enumerate(templates) for p, x in enumerate(t.words) if x == w) + ")" for w in ranked
-    ) + ")"
-    known = "array(" + ", ".join(map(quoted, ranked)) + ")"
+    rank = {w: i for i, w in enumerate(ranked)}
+    chosen: dict[str, list[tuple[int, int]]] = {}
+    for k, t in enumerate(templates):
+        phrase = t.phrase.split()
+        for w in sorted(set(phrase), key=rank.get)[:min_votes]:
+            chosen.setdefault(w, []).extend((k, t.phrase_at + p) for p, x in enumerate(phrase) if x == w)
+    votes = "map(" + ", ".join(f"{quoted(w)}, array(" + ", ".join(f"struct({k} as t, {p} as p)" for k, p in found) + ")" for w, found in chosen.items()) + ")"
+    known = "array(" + ", ".join(map(quoted, chosen)) + ")"
     listed = "array(" + ", ".join(
         "struct(" + f"{quoted(t.label)} as label, array({', '.join(map(quoted, t.words))}) as words, array({', '.join(map(quoted, t.phrase.split()))}) as phrase, {t.phrase_at} as at" + ")" for t in templates
     ) + ")"
-    # a template with fewer words than min_votes can't get so many
+    # a phrase with fewer different words than min_votes can't get so many
     need = f"{min_votes}"
-    # a text's licence words with the highest IDF
-    looked = split.withColumn("__keys", F.expr(f"transform(slice(array_sort(transform(array_intersect(__words, {known}), w -> struct({ranks}[w] as r, w as w))), 1, {keys}), x -> x.w)"))
+    # the words to look up that a text holds
+    looked = split.withColumn("__keys", F.expr(f"array_intersect(__words, {known})"))
     voted = looked.withColumn(
         "__votes",
         F.expr(

@@ -234,6 +234,16 @@ def test_license_scan(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_license_scan_hears_every_template(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted. "
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. "
+    prose = "the redistribution of binary forms with modification without source " + "word " * 300
+    texts = [bsd + "All rights reserved.", notice + bsd + "Licensed under CC BY-SA 4.0. Released under the MIT License.", prose + "All rights reserved. Licensed under CC BY-SA 4.0."]
+    texts += ["all rights reserved licensed under cc by sa 4 0 the mit license"] * 20  # makes these words frequent
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got[0] == "all-rights-reserved,bsd" and got[1] == "bsd,cc-by-sa,mit" and got[2] == "all-rights-reserved,cc-by-sa"
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

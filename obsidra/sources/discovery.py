@@ -47,7 +47,7 @@ def robots_sitemaps(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)), F.trim))
 
 
-def sitemap_entries(body: Column, most: int = 50_000) -> Column:
+def sitemap_entries(body: Column, most: int | None = None) -> Column:
     """struct<kind, entries, dropped> of a sitemap: urlset, sitemapindex, feed or plain text of URLs."""
 
     @F.udf(f"struct<kind:string,entries:{ENTRY},dropped:int>")
@@ -57,7 +57,7 @@ def sitemap_entries(body: Column, most: int = 50_000) -> Column:
         if root is None:
             lines = [x.strip() for x in data.decode("utf-8", "replace").splitlines()] if data.lstrip()[:1] != b"<" else []
             found = [(x, None) for x in lines if re.match("https?://", x)]
-            return ("text" if found else "unknown", found[:most], max(0, len(found) - most))
+            return ("text" if found else "unknown", found[:most], len(found) - len(found[:most]))
         name = root.tag.rpartition("}")[2]
         if name in ("urlset", "sitemapindex"):
             found = []
@@ -68,7 +68,7 @@ def sitemap_entries(body: Column, most: int = 50_000) -> Column:
         else:
             found = list(feed_links(root))
             name = "feed" if found else "unknown"
-        return (name, found[:most], max(0, len(found) - most))
+        return (name, found[:most], len(found) - len(found[:most]))
 
     return run(body)
 
@@ -98,7 +98,9 @@ def feed_links(root) -> Iterator[tuple[str, str | None]]:
             yield found, time
 
 
-def feed_entries(body: Column, most: int = 10_000) -> Column:
+def feed_entries(body: Column, most: int | None = None) -> Column:
+    """Entries of a feed, all or the first ``most``."""
+
     @F.udf(ENTRY)
     def run(raw):
         root = safe_xml(bytes(raw or b""))

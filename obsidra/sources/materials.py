@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,14 +65,15 @@ def observation_of(materials: DataFrame) -> DataFrame:
     return materials.select("material_id", F.struct(F.col("fetched_at").alias("observed_at"), F.lit(-1).cast("long").alias("sequence"), "observation_id").alias("order"))
 
 
-def sitemap_walk(captures: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+def sitemap_walk(captures: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(url, lastmod) listed by the sitemaps reachable from ``roots`` (url), by captured bodies (url, body binary).
 
     An index adds its sitemaps to the next level; every level joins the captures once and is checkpointed.
+    All levels are walked, or the first ``depth``; a sitemap is visited once, so loops end.
     """
     parsed = captures.select("url", sitemap_entries(F.col("body")).alias("s"))
     level, seen, found = roots.select("url").distinct(), roots.select("url").distinct(), None
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         hit = level.join(parsed, "url").select("s.kind", F.explode("s.entries").alias("e")).select("kind", "e.*").checkpoint()
         pages = hit.where("kind != 'sitemapindex'").select("url", "lastmod")
         found = pages if found is None else found.unionByName(pages)

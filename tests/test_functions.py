@@ -340,3 +340,19 @@ def test_materials_and_checks(spark):
     catalogue = spark.createDataFrame([("a", "news of kyiv"), ("b", "shop")], "id string, title string")
     assert [r["id"] for r in materials.search_sources(catalogue, "kyiv news", ["title"]).collect()] == ["a"]
     assert checks.verify_projection(spark.createDataFrame([("k", 1), ("l", 1)], "canonical_key string, version int"), spark.createDataFrame([("k", 1)], "canonical_key string, version int")).count() == 1
+
+
+def test_long_feeds_and_deep_sitemaps_are_whole(spark):
+    from obsidra.sources import materials
+
+    feed = b"<rss><channel>" + b"".join(b"<item><link>https://e.com/%d</link></item>" % i for i in range(10_001)) + b"</channel></rss>"
+    assert len(one(spark, discovery.feed_entries(F.lit(bytearray(feed))))) == 10_001
+    assert len(one(spark, discovery.feed_entries(F.lit(bytearray(feed)), 5))) == 5
+    text = "\n".join(f"https://e.com/{i}" for i in range(50_001)).encode()
+    got = one(spark, discovery.sitemap_entries(F.lit(bytearray(text))))
+    assert len(got["entries"]) == 50_001 and got["dropped"] == 0
+    index = "<sitemapindex><sitemap><loc>https://e.com/s{}</loc></sitemap></sitemapindex>"
+    rows = [(f"https://e.com/s{i}", bytearray(index.format(i + 1).encode())) for i in range(6)]
+    rows.append(("https://e.com/s6", bytearray(b"<urlset><url><loc>https://e.com/deep</loc></url></urlset>")))
+    bodies = spark.createDataFrame(rows, "url string, body binary")
+    assert [r["url"] for r in materials.sitemap_walk(bodies, spark.createDataFrame([("https://e.com/s0",)], "url string")).collect()] == ["https://e.com/deep"]

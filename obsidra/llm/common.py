@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 import sys
 import tempfile
 import uuid
@@ -18,10 +20,8 @@ WHITESPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once by a Python worker (a longer text goes alone).
 SLICE_BYTES = 1 << 20
 
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+#: Random numbers by (place in the word modulo 64, byte): a word's hash is their sum. Two tables give independent hashes.
+_CODES = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 64 * 256), dtype=np.uint64)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="obsidra-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -44,13 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts lineage and outlives lost executors.
 
-    ``small``: rows are few next to the work that makes them, so they are dealt to a sixteenth of the shuffle partitions
-    before writing; the work itself keeps its parallelism.
+    ``small``: rows are few next to the work that makes them, so files follow their bytes (a rebalance before writing);
+    the work itself keeps its parallelism.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/obsidra/{name}-{uuid.uuid4().hex}"
     if small:
-        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.hint("rebalance")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,14 +69,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan_bytes(df) * 4 < cores * split else df
 
 
-def group_bits(df: DataFrame, bytes_per_group: int = 6 << 20, least: int = 3, most: int = 24) -> int:
-    """log2 of the number of groups that keeps a group near ``bytes_per_group``.
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts: one aggregate over the column."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
 
-    Where Catalyst knows no size (or only a product of sizes, beyond a petabyte), the session's shuffle partitions count.
+
+def group_bits(total: int, least: int = 3, most: int = 24) -> int:
+    """log2 of the number of groups for ``total`` bytes of text.
+
+    A group holds 4 MiB, more as the root of the input (groups and ranges both grow, so that a packed row between them
+    stays filled), at most 32 MiB.
     """
-    size = plan_bytes(df)
-    groups = size // bytes_per_group if size < 1 << 50 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(most, max(least, max(1, groups).bit_length()))
+    size = min(32 << 20, max(4 << 20, math.isqrt(4096 * total)))
+    return min(most, max(least, max(1, -(-total // size) - 1).bit_length()))
 
 
 def worker_cache() -> dict:
@@ -84,23 +91,16 @@ def worker_cache() -> dict:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64's constants)."""
-    x = np.atleast_1d(x)  # arrays wrap around silently
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int, base: int = _MULT) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    key = str(base)
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _POWERS[key] = np.multiply.accumulate(steps)
-    return have[:n]
+    x = np.array(x, np.uint64, ndmin=1)  # arrays wrap around silently
+    y = x >> np.uint64(30)
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=y)
+    x ^= y
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
+    return x
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +129,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of consecutive texts, and each text's first word (n+1 numbers).
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end of each word of consecutive texts, each text's first word; n+1 numbers).
 
     Words are maximal runs of bytes outside :data:`WHITESPACE`; a word never crosses a text.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = WHITESPACE[data]
     before = np.empty(n, bool)
     before[0] = True
@@ -149,23 +149,77 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[inner] = True
     after[inner - 1] = True
     start = np.flatnonzero(~space & before)
-    end = np.flatnonzero(~space & after) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_CODES[data] * powers(n), out=sums[1:])
-    return mixed((sums[end] - sums[start]) * powers(n, _INVERSE)[start]), np.searchsorted(start, offsets)
+    return start, np.flatnonzero(~space & after) + 1, np.searchsorted(start, offsets)
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [start, end): sums of random numbers drawn by place and byte, then mixed.
+
+    Unlike a polynomial modulo 2**64 no pattern of bytes makes the sums of two words agree; ``table`` chooses the numbers.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    place = np.zeros(n, kind)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n, dtype=kind), place, out=place)
+    codes = _CODES[table].take((place & 63).astype(np.uint16) << np.uint16(8) | data)
+    longest = int((end - start).max())
+    if longest > 64:
+        far = np.flatnonzero((place >= 64) & (place < longest))
+        codes[far] = mixed(codes[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    both = np.empty(2 * len(start), np.int64)
+    both[::2], both[1::2] = start, end
+    return mixed(np.add.reduceat(codes, both[: len(both) - (end[-1] == n)])[::2])
+
+
+def plain_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the words [start, end), one space after each; where each word begins, one more at the end)."""
+    length = end - start
+    bound = np.append(0, np.cumsum(length + 1))
+    out = np.full(int(bound[-1]), 0x20, np.uint8)
+    if len(start):
+        place = np.arange(int(bound[-1]) - len(start))
+        begin = np.cumsum(length) - length
+        out[place + np.repeat(np.arange(len(start)), length)] = data[place + np.repeat(start - begin, length)]
+    return out, bound
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of consecutive texts, and each text's first word (n+1 numbers)."""
+    start, end, first = word_places(data, offsets)
+    return word_names(data, start, end), first
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
-def rolling(h: np.ndarray, width: int, multiplier: int) -> np.ndarray:
-    """Hashes of all ``width`` consecutive values (by prefix sums), positions 0 .. len-width."""
-    n = len(h)
-    if n < width:
+def rolling(h: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hashes of all ``width`` consecutive values, positions 0 .. len-width: halves are hashed together, level by level."""
+    if len(h) < width:
         return np.zeros(0, np.uint64)
-    multiplier |= 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(mixed(h ^ np.uint64(multiplier)) * powers(n, multiplier), out=sums[1:])
-    return mixed((sums[width:] - sums[:-width]) * powers(n, pow(multiplier, -1, 1 << 64))[: n - width + 1])
+    level, size = mixed(h ^ np.uint64(seed)), 1
+    out, done = None, 0
+    while True:
+        if width & size:
+            out = level if out is None else _joined(out[: len(h) - done - size + 1], level[done:])
+            done += size
+        if done == width:
+            return out
+        level = _joined(level[:-size], level[size:])
+        size *= 2
+
+
+def tidy() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def row_struct(df: DataFrame, without: tuple[str, ...] = ()):

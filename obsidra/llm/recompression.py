@@ -1,15 +1,22 @@
-"""Substring dedup on words: recompression finds repeats, windows settle them.
+"""Substring dedup on words: recompression finds repeats, their words verify them.
 
-A text is its words as 64-bit hashes. Recompression shortens it by rounds: runs of one token get one name, then in
-every round neighbouring tokens (a, b) get one name where a keyed coin of a is 0 and that of b is 1. Names are
-fingerprints of what they stand for, so they are global without a dictionary: equal substrings get equal symbols in
-their interior, in whatever document. Each symbol carries the words that decided it (its support).
+A text is its words as 64-bit names. Recompression shortens it by rounds: runs of one token get one name, then in
+every round neighbouring tokens (a, b) get one name where a keyed coin of a is 0 and that of b is 1. A name is a function
+of what it stands for, so a round needs no exchange to be global: equal substrings get equal symbols in their interior, in
+whatever document. Each symbol carries the words that decided it (its support).
 
-Each window of ``window`` words is filed under the longest symbol whose support lies inside it (then by hash): equal windows hold equal
-symbols at equal offsets, so they meet under the same name (a window that holds no whole support is filed under its own
-hash). The Spark rounds are: (1) names are counted globally; those seen once drop out with all their windows; (2) the
-windows under shared names meet by 96-bit fingerprints and the first one of each is found; (3) every document removes
-the words covered by a window that also starts earlier.
+Each window of ``window`` words is filed under the longest symbol whose support lies inside it (then by hash): equal
+windows hold equal symbols at equal offsets, so they are filed under the same name (a window that holds no whole support
+is filed under its own hash). The Spark rounds are:
+
+1. Symbols are counted globally; those seen once drop out with all their windows.
+2. Windows under shared symbols meet by 96-bit fingerprints over two independent word names; each learns where it starts
+   first.
+3. Windows that repeat are joined to maximal repeats: (place, place of the first occurrence, words). The words of each are
+   digested (blake2b, 128 bits of their bytes), and the digest goes to the document group of the first occurrence.
+4. That group compares the digests with its own text, and every document drops the words that its repeats cover. A repeat
+   whose words differ (two windows with one fingerprint) ends the job with an error that asks for another ``seed``: what is removed is
+   verified, never assumed.
 
 Between rounds a group of documents exchanges packed arrays, one row for each pair of a group and a name range; a name
 counts once per group, whatever its frequency, so no key gathers more rows than there are groups.
@@ -21,14 +28,16 @@ are kept; those with the names of result columns are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import group_bits, mixed, rolling, slices, text_buffers, word_hashes
+from .common import group_bits, mixed, plain_words, rolling, slices, text_buffers, text_bytes, tidy, word_names, word_places
 from .exchange import NO_ID, by_range, counted_names, distinct_rows, grouped_documents, in_sorted, joined, packed, shared_names
 
 ROUNDS = 4
@@ -130,142 +139,225 @@ def filed(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return at, key, where
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first document, word hashes, first words) of slices of a group."""
+class _Slice:
+    """Some documents of a group: the words' bytes and places, and the numbers of the first document and the first word."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: int, word: int) -> None:
+        self.data, self.doc, self.word = data, doc, word
+        self.start, self.end, self.first = word_places(data, offsets)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def names(self, table: int = 0) -> np.ndarray:
+        return word_names(self.data, self.start, self.end, table)
+
+    def prints(self, at: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each window in ``at``, over two independent names of its words."""
+        return rolling(self.names(), window, _ONE + seed)[at], (rolling(self.names(1), window, _ANOTHER + seed)[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def _texts(table: pa.Table) -> Iterator[_Slice]:
     data, offsets = text_buffers(table.column("__text"))
-    for i, j in slices(offsets, 2 << 20):
+    word = 0
+    for i, j in slices(offsets):
         part = offsets[i : j + 1]
-        h, first = word_hashes(data[part[0] : part[-1]], part - part[0])
-        yield i, h, first
+        one = _Slice(data[part[0] : part[-1]], part - part[0], i, word)
+        word += len(one)
+        yield one
+
+
+def _digests(part: _Slice, begin: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """Digests of the words of repeats that begin at the slice's words ``begin``."""
+    if not len(begin):
+        return []
+    text, bound = plain_words(part.data, part.start, part.end)
+    raw = memoryview(text)
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bound[begin].tolist(), bound[begin + words].tolist())]
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: What a group learns of the windows that start earlier elsewhere, and what it claims of another group's text.
+LATER = np.dtype([("one", "<u8"), ("two", "<u4"), ("place", "<u4"), ("group", "<i4")])
+CLAIM = np.dtype([("place", "<u4"), ("words", "<u4"), ("digest", "S16")])
+
+
+def _key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """96 bits as 64, for looking up inside a group."""
+    return one ^ mixed(two.astype(np.uint64))
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and removed (word spans)."""
-    added = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_removed", T.LongType()),
-        T.StructField("kept_text", T.StringType()),
-        T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))),
-    ]
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", spans_type)]
     names = {f.name for f in added}
-    bits = group_bits(docs)
+    bits = group_bits(text_bytes(docs, text_col))
     grouped = grouped_documents(docs, bits, id_col, text_col, names)
 
     def name_texts(key, table):
         table, _ = distinct_rows(table)
         found = []
-        for _, h, first in _texts(table):
-            at, name, place = filed(h, first, window)
+        for part in _texts(table):
+            at, name, place = filed(part.names(), part.first, window)
             change = np.ones(len(at), bool)
             change[1:] = (name[1:] != name[:-1]) | (place[1:] != place[:-1])
             found.append(name[change])
-        return counted_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), bits)
+        out = counted_names(np.concatenate(found) if found else np.zeros(0, np.uint64), key[0].as_py(), bits)
+        tidy()
+        return out
 
     def windows(key, left, right):
-        empty = {"range": pa.array([], pa.int32()), "group": pa.array([], pa.int32()), "windows": pa.array([], pa.binary())}
         if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
+            return pa.table({"range": pa.array([], pa.int32()), "group": pa.array([], pa.int32()), "windows": pa.array([], pa.binary())})
         left, _ = distinct_rows(left)
         ids = left.column("__id").combine_chunks().fill_null(NO_ID).to_numpy()
         shared = np.sort(joined(right.column("names"), np.uint64))
         found = []
-        for i, h, first in _texts(left):
-            at, name, _ = filed(h, first, window)
+        for part in _texts(left):
+            at, name, _ = filed(part.names(), part.first, window)
             at = at[in_sorted(name, shared)]
-            doc = np.searchsorted(first, at, side="right") - 1 + i
-            found.append((rolling(h, window, _ONE)[at], (rolling(h, window, _ANOTHER)[at] >> np.uint64(32)).astype(np.uint32), ids[doc]))
-        one, two, doc = (np.concatenate(x) for x in zip(*found))
+            doc = np.searchsorted(part.first, at, side="right") - 1 + part.doc
+            found.append((*part.prints(at, window, seed), ids[doc], (at + part.word).astype(np.uint32)))
+        one, two, doc, place = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.lexsort((two, one))  # stable: the first of each is the earliest of this group
-        one, two, doc = one[order], two[order], doc[order]
+        one, two, doc, place = one[order], two[order], doc[order], place[order]
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        one, two, doc = one[new], two[new], doc[new]
+        one, two, doc, place = one[new], two[new], doc[new], place[new]
         bound, ranges = by_range(one, bits)
-        rows = [packed(doc[a:b], one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])]
+        rows = [packed(doc[a:b], one[a:b], two[a:b], place[a:b]) for a, b in zip(bound[:-1], bound[1:])]
+        tidy()
         return pa.table({"range": pa.array(ranges, pa.int32()), "group": pa.array([left.column("__group")[0].as_py()] * len(rows), pa.int32()), "windows": pa.array(rows, pa.binary())})
 
     def first_windows(key, table):
         parts = table.column("windows").to_pylist()
-        sizes = [len(x) // 20 for x in parts]
+        sizes = [len(x) // 24 for x in parts]
         doc = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(parts, sizes)])
         one = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(parts, sizes)])
         two = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in zip(parts, sizes)])
+        place = np.concatenate([np.frombuffer(x, np.uint32, n, 20 * n) for x, n in zip(parts, sizes)])
+        del parts
         ids = table.column("group").to_numpy()
         group = np.repeat(ids, sizes)  # groups are ranges of the texts' hashes: they order texts of one id
         order = np.lexsort((group, doc, two, one))
-        one, two, group = one[order], two[order], group[order]
+        one, two, group, place = one[order], two[order], group[order], place[order]
         later = np.zeros(len(one), bool)
         later[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-        one, two, group = one[later], two[later], group[later]
+        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(one))))[later]
+        out = np.empty(len(head), LATER)
+        out["one"], out["two"], out["place"], out["group"] = one[later], two[later], place[head], group[head]
+        group = group[later]
         order = np.argsort(group, kind="stable")
-        one, two, group = one[order], two[order], group[order]
+        out, group = out[order], group[order]
         own = np.unique(group)
         bound = np.append(np.searchsorted(group, own), len(group))
-        return pa.table({"group": pa.array(own, pa.int32()), "later": pa.array([packed(one[a:b], two[a:b]) for a, b in zip(bound[:-1], bound[1:])], pa.binary())})
+        tidy()
+        return pa.table({"group": pa.array(own, pa.int32()), "later": pa.array([packed(out[a:b]) for a, b in zip(bound[:-1], bound[1:])], pa.binary())})
+
+    def repeats(key, left, right):
+        """Rows (to, covered, claims): the words that a group's repeats cover, and claims on the texts they repeat."""
+        if not left.num_rows:
+            return pa.table({"to": pa.array([], pa.int32()), "covered": pa.array([], pa.binary()), "claims": pa.array([], pa.binary())})
+        own = left.column("__group")[0].as_py()
+        left, _ = distinct_rows(left)
+        parts = list(_texts(left))
+        at, keys = [], []
+        for part in parts:
+            w = windows_of(part.first, window, len(part))
+            at.append(w + part.word)
+            keys.append(_key(*part.prints(w, window, seed)))
+        at, keys = np.concatenate(at), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        same = np.zeros(len(keys), bool)
+        same[1:] = keys[order][1:] == keys[order][:-1]
+        head = np.empty(len(keys), np.int64)
+        head[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))]
+        repeat = head != np.arange(len(keys))
+        source, where = np.full(len(keys), own, np.int32), at[head]
+        later = joined(right.column("later"), LATER) if right.num_rows else np.zeros(0, LATER)
+        if len(later):
+            known = _key(later["one"], later["two"])
+            order = np.argsort(known)
+            known, later = known[order], later[order]
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = np.flatnonzero(known[place] == keys)
+            source[hit], where[hit] = later["group"][place[hit]], later["place"][place[hit]]
+            repeat[hit] = True
+        at, source, where = at[repeat], source[repeat], where[repeat]
+        # maximal repeats: windows one after the other, as are their first occurrences
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (where[1:] != where[:-1] + 1) | (source[1:] != source[:-1])
+        begin = np.flatnonzero(new)
+        words = np.diff(np.append(begin, len(at))) + window - 1
+        at, source, where = at[begin], source[begin], where[begin]
+        claims = np.empty(len(at), CLAIM)
+        claims["place"], claims["words"] = where, words
+        digests: list[bytes] = []
+        bound = np.searchsorted(at, [p.word for p in parts] + [1 << 62])
+        for part, a, b in zip(parts, bound[:-1], bound[1:]):
+            digests += _digests(part, at[a:b] - part.word, words[a:b])
+        claims["digest"] = digests
+        to = [own]
+        covered, packed_claims = [packed(at.astype(np.uint32), words.astype(np.uint32))], [None]
+        for group in np.unique(source):
+            to.append(int(group))
+            covered.append(None)
+            packed_claims.append(packed(np.unique(claims[source == group])))
+        tidy()
+        return pa.table({"to": pa.array(to, pa.int32()), "covered": pa.array(covered, pa.binary()), "claims": pa.array(packed_claims, pa.binary())})
 
     schema = T.StructType([grouped.schema["__row"], *added])
+    span_list = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def remove(key, left, right):
         if not left.num_rows:
-            return pa.table({"__row": left.column("__row"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "removed": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
+            return pa.table([left.column("__row"), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], span_list)], names=["__row", *[f.name for f in added]])
         unique, which = distinct_rows(left)
-        known = [np.frombuffer(x, np.uint8) for x in right.column("later").to_pylist()] if right.num_rows else []
-        one = np.concatenate([np.zeros(0, np.uint64), *[x[: len(x) // 12 * 8].view(np.uint64) for x in known]])
-        two = np.concatenate([np.zeros(0, np.uint32), *[x[len(x) // 12 * 8 :].view(np.uint32) for x in known]])
-        later = np.sort(mixed(one) ^ two.astype(np.uint64))
-        # windows that repeat inside the group: all but the first
-        seen, where = [], []
-        sums = []
-        for i, h, first in _texts(unique):
-            at = windows_of(first, window, len(h))
-            a = rolling(h, window, _ONE)[at]
-            b = (rolling(h, window, _ANOTHER)[at] >> np.uint64(32)).astype(np.uint64)
-            sums.append((i, len(h), first, at))
-            seen.append(mixed(a) ^ b)
-        both = np.concatenate(seen)
-        order = np.argsort(both, kind="stable")
-        repeat = np.zeros(len(both), bool)
-        repeat[order[1:]] = both[order[1:]] == both[order[:-1]]
-        repeat |= in_sorted(both, later)
-        n_words, n_removed, texts, spans = [], [], [], []
-        data, offsets = text_buffers(unique.column("__text"))
-        raw = data.tobytes()
-        done = 0
-        for i, n, first, at in sums:
-            hit = at[repeat[done : done + len(at)]]
-            done += len(at)
+        mine = [np.frombuffer(x, np.uint32) for x in right.column("covered").to_pylist() if x]
+        at = np.concatenate([x[: len(x) // 2] for x in mine]).astype(np.int64) if mine else np.zeros(0, np.int64)
+        length = np.concatenate([x[len(x) // 2 :] for x in mine]).astype(np.int64) if mine else np.zeros(0, np.int64)
+        claims = np.unique(joined(right.column("claims"), CLAIM))
+        columns = []
+        for part in _texts(unique):
+            n = len(part)
+            asked = claims[(claims["place"] >= part.word) & (claims["place"] < part.word + n)]
+            found = _digests(part, asked["place"].astype(np.int64) - part.word, asked["words"].astype(np.int64))
+            if not np.array_equal(np.array(found, "S16"), asked["digest"]):
+                raise ValueError("two windows of different words have one fingerprint: run substring_dedup with another seed")
+            inside = (at >= part.word) & (at < part.word + n)
             edge = np.zeros(n + 1, np.int32)
-            edge[hit] += 1
-            edge[hit + window] -= 1
-            gone = np.cumsum(edge[:n]) > 0
-            total = np.append(0, np.cumsum(gone))
-            for d in range(len(first) - 1):
-                words = raw[offsets[i + d] : offsets[i + d + 1]].split()
-                a, b = int(first[d]), int(first[d + 1])
-                off = int(total[b] - total[a])
-                n_words.append(b - a)
-                n_removed.append(off)
-                if off:
-                    mask = gone[a:b]
-                    step = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(step[::2], step[1::2])])
-                    words = [w for w, m in zip(words, mask.tolist()) if not m]
-                else:
-                    spans.append([])
-                texts.append(b" ".join(words))
-        at = pa.array(which)
-        return pa.table(
-            {
-                "__row": left.column("__row"),
-                "n_words": pa.array(n_words, pa.int64()).take(at),
-                "n_removed": pa.array(n_removed, pa.int64()).take(at),
-                "kept_text": pa.array(texts, pa.binary()).cast(pa.string()).take(at),
-                "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))).take(at),
-            }
-        )
+            np.add.at(edge, at[inside] - part.word, 1)
+            np.add.at(edge, at[inside] - part.word + length[inside], -1)
+            columns.append(_kept(part, np.cumsum(edge[:n]) > 0))
+        taken = pa.array(which)
+        cols = [pa.concat_arrays([c[i] for c in columns]).take(taken) for i in range(4)]
+        tidy()
+        return pa.table([left.column("__row"), *cols], names=["__row", *[f.name for f in added]])
 
     by_group = grouped.groupBy("__group")
     counted = by_group.applyInArrow(name_texts, "range int, group int, names binary, often binary").repartition(1 << bits, "range").groupBy("range").applyInArrow(shared_names, "group int, names binary")
     met = by_group.cogroup(counted.groupBy("group")).applyInArrow(windows, "range int, group int, windows binary").repartition(1 << bits, "range").groupBy("range").applyInArrow(first_windows, "group int, later binary")
-    out = by_group.cogroup(met.groupBy("group")).applyInArrow(remove, schema)
+    told = by_group.cogroup(met.groupBy("group")).applyInArrow(repeats, "to int, covered binary, claims binary")
+    out = by_group.cogroup(told.groupBy("to")).applyInArrow(remove, schema)
     return out.select("__row.*", *[f.name for f in added])
+
+
+def _kept(part: _Slice, gone: np.ndarray) -> list[pa.Array]:
+    """(words, removed words, kept text, removed spans) of each document of a slice."""
+    docs = len(part.first) - 1
+    owner = np.repeat(np.arange(docs), np.diff(part.first))
+    text, bound = plain_words(part.data, part.start[~gone], part.end[~gone])
+    # a text ends before the space after its last word
+    last = np.searchsorted(owner[~gone], np.arange(docs + 1))
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(bound[last].astype(np.int64)), pa.py_buffer(text)])
+    texts = pc.binary_slice(texts, 0, -1).cast(pa.string())
+    edge = gone.copy()
+    edge[1:] &= ~(gone[:-1] & (owner[1:] == owner[:-1]))
+    begin = np.flatnonzero(edge)
+    edge = gone.copy()
+    edge[:-1] &= ~(gone[1:] & (owner[1:] == owner[:-1]))
+    end = np.flatnonzero(edge) + 1
+    spans = pa.StructArray.from_arrays([pa.array(begin - part.first[owner[begin]]), pa.array(end - begin)], ["start", "length"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[begin], np.arange(docs + 1)).astype(np.int32)), spans)
+    return [pa.array(np.diff(part.first)), pa.array(np.bincount(owner[gone], minlength=docs).astype(np.int64)), texts, lists]

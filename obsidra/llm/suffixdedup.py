@@ -16,12 +16,14 @@ with names of result columns are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import group_bits, mixed, powers, slices, text_buffers
+from .common import SLICE_BYTES, group_bits, mixed, slices, text_buffers, text_bytes, tidy
 from .exchange import counted_names, distinct_rows, grouped_documents, in_sorted, joined, packed, shared_names
 from .induced import repeated
 
@@ -32,6 +34,20 @@ _MULT = 0xD1342543DE82EF95
 _CODES = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@lru_cache(4)
+def _powers_below(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; kept up to a slice's length only."""
+    if n <= SLICE_BYTES:
+        return _powers_below(SLICE_BYTES, base)[:n]
+    return _powers_below.__wrapped__(n, base)
+
+
 def sliding(x: np.ndarray, width: int, ufunc: np.ufunc, fill: int) -> np.ndarray:
     """ufunc over all ``width`` consecutive values, by prefixes and suffixes of blocks."""
     n = len(x)
@@ -99,7 +115,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
         T.StructField("removed", T.ArrayType(span)),
     ]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    bits = group_bits(docs)
+    bits = group_bits(text_bytes(docs, text_col))
     ranges = min(24, bits + 2)  # shards are smaller than groups: a sort holds more than a group's text
     grouped = grouped_documents(docs, bits, id_col, text_col, {f.name for f in added})
 

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, rolling, row_struct, slices, staged, text_buffers, word_hashes
+from .common import mixed, rolling, row_struct, slices, staged, text_buffers, tidy, word_hashes
 from .components import components
 
 SHINGLE, TUPLE, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
+#: Columns to either side in the first band tried, and words up to which a text's words have a bit mask each.
+BAND, SHORT_WORDS = 64, 8192
 #: Members of one hub that are verified in one group.
 GROUP_MEMBERS = 64
 #: Bins of a text's bag of words.
@@ -100,7 +102,7 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def within(a: list, b: list, most: int) -> bool:
-    """Whether the edit distance of two sequences is at most ``most``: bit-parallel over a band of that width."""
+    """Whether the edit distance of two sequences is at most ``most``: bit-parallel in bands, each wider than the one before."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > most:
@@ -117,20 +119,26 @@ def within(a: list, b: list, most: int) -> bool:
         return len(a) <= most
     if len(a) > len(b) + most:
         return False
+    band = max(BAND, len(a) - len(b))
+    while band * 4 < most:  # few edits need no wide band
+        if _banded(a, b, band):
+            return True
+        band *= 8
+    return _banded(a, b, most)
+
+
+def _banded(a: list, b: list, most: int) -> bool:
+    """``within`` over a band of 2 * most + 1 columns; memory follows the texts' length and the band, not their product."""
     # columns: a; rows: b. Bit k of a row stands for the column (row - most + k).
     width = 2 * most + 1
     mask = (1 << width) - 1
-    places: dict = {}
-    for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
+    columns = _Columns(a, most)
     # vertical differences of row 0: the columns from 0 on rise by one
     up, down = (mask << most) & mask, 0
-    distance, n, m = most, len(b), len(a)
+    distance, m = most, len(a)
     high, limit = 1 << (width - 1), most
     for row, x in enumerate(b):
-        shift = row - most
-        eq = places.get(x, 0)
-        eq = (eq >> shift if shift >= 0 else eq << -shift) & mask
+        eq = columns.equal(x, row)
         zero = (((((eq & up) + up) ^ up) | eq | down)) & mask
         plus, minus = (down | ~(zero | up)) & mask, zero & up
         if row + most < m:  # the band's last column moves on
@@ -144,6 +152,41 @@ def within(a: list, b: list, most: int) -> bool:
     return distance <= limit
 
 
+class _Columns:
+    """Where a sequence has a value, as bits of the band around a row."""
+
+    def __init__(self, a: list, most: int) -> None:
+        self.most, self.width = most, 2 * most + 1
+        self.mask = (1 << self.width) - 1
+        self.short = len(a) <= SHORT_WORDS
+        self.bits: dict = {}
+        if self.short:  # one number a value: at most SHORT_WORDS**2 bits in all
+            for k, x in enumerate(a):
+                self.bits[x] = self.bits.get(x, 0) | 1 << k
+            return
+        number = np.fromiter((self.bits.setdefault(x, len(self.bits)) for x in a), np.int32, len(a))
+        self.places = np.argsort(number, kind="stable").astype(np.int32)
+        self.bound = np.append(0, np.cumsum(np.bincount(number))).tolist()
+
+    def equal(self, x, row: int) -> int:
+        shift = row - self.most
+        if self.short:
+            eq = self.bits.get(x, 0)
+            return (eq >> shift if shift >= 0 else eq << -shift) & self.mask
+        at = self.bits.get(x)
+        if at is None:
+            return 0
+        begin, end = self.bound[at], self.bound[at + 1]
+        own = self.places[begin:end]
+        if end - begin > 8:
+            own = own[np.searchsorted(own, shift) : np.searchsorted(own, shift + self.width)]
+        if len(own) <= 8:
+            return sum(1 << k - shift for k in own.tolist() if 0 <= k - shift < self.width)
+        bits = np.zeros(self.width, np.uint8)
+        bits[own - shift] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9))
 
@@ -162,7 +205,7 @@ def least_distances(bag: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, words, sketches, bag) of every row; mark: 128-bit digest of the word sequence."""
+    """(id, mark, words, sketches, bag) of every row; mark: 128-bit digest of the words' bytes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +213,16 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):
                 part = offsets[i : j + 1]
-                h, first = word_hashes(data[part[0] : part[-1]], part - part[0])
+                own = data[part[0] : part[-1]]
+                h, first = word_hashes(own, part - part[0])
                 found = order_sketches(h, first)
                 held = bags(h, first)
-                marks = [_digest(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+                marks = _marks(own, part - part[0])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(i, j - i), pa.array(marks, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCHES), pa.array(found.view(np.int64).ravel())), pa.array([b.tobytes() for b in held], pa.binary())],
                     ["id", "mark", "words", "sketches", "bag"],
                 )
+        tidy()
 
     return rows.mapInArrow(run, "id long, mark binary, words long, sketches array<long>, bag binary")
 
@@ -273,12 +318,10 @@ def _compared(docs: DataFrame, undecided: DataFrame, id_col: str, text_col: str,
 
     def compare(table):
         data, offsets = text_buffers(table.column("__text"))
-        raw = data.tobytes()
-        h, first = word_hashes(data, offsets)
         marks, places, component, partners = (table.column(c).to_pylist() for c in ("mark", "place", "component", "partners"))
         # an id may stand for several texts: only the row with the digest asked for counts
-        rows = {places[r]: r for r in range(len(marks)) if marks[r] == _digest(h[first[r] : first[r + 1]])}
-        words = lambda r: raw[offsets[r] : offsets[r + 1]].split()
+        rows = {places[r]: r for r, mark in enumerate(_marks(data, offsets)) if marks[r] == mark}
+        words = lambda r: data[offsets[r] : offsets[r + 1]].tobytes().split()
         parent: dict[bytes, bytes] = {}
 
         def top(c):
@@ -297,6 +340,7 @@ def _compared(docs: DataFrame, undecided: DataFrame, id_col: str, text_col: str,
                 if similar(mine, words(p), similarity):
                     parent[a] = b
                     good.append((marks[r], marks[p]))
+        tidy()
         return pa.table({"mark": pa.array([a for a, _ in good], pa.binary()), "hub": pa.array([b for _, b in good], pa.binary())})
 
     return joined.groupBy("key", "low", "high").applyInArrow(compare, "mark binary, hub binary")
@@ -320,16 +364,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
 
     def verify(key, table):
         data, offsets = text_buffers(table.column("__text"))
-        raw = data.tobytes()
-        h, first = word_hashes(data, offsets)
         marks = table.column("mark").to_pylist()
         # an id may stand for several texts: only the row with the digest asked for counts
-        mine = [marks[r] == _digest(h[first[r] : first[r + 1]]) for r in range(len(marks))]
-        words = lambda r: raw[offsets[r] : offsets[r + 1]].split()
+        mine = [marks[r] == mark for r, mark in enumerate(_marks(data, offsets))]
+        words = lambda r: data[offsets[r] : offsets[r + 1]].tobytes().split()
         hub = key[0].as_py()
         head = next((words(r) for r in range(len(marks)) if mine[r] and marks[r] == hub), None)
         rows = {marks[r]: r for r in range(len(marks)) if mine[r] and marks[r] != hub}
         good = [mark for mark, r in rows.items() if head is not None and similar(words(r), head, similarity)]
+        tidy()
         return pa.table({"mark": pa.array(good, pa.binary()), "hub": pa.array([hub] * len(good), pa.binary())})
 
     return joined.groupBy("hub", "part").applyInArrow(verify, "mark binary, hub binary")
@@ -354,12 +397,12 @@ def with_mark(docs: DataFrame, text_col: str = "text") -> DataFrame:
             data, offsets = text_buffers(batch.column("__text"))
             for i, j in slices(offsets):
                 part = offsets[i : j + 1]
-                h, first = word_hashes(data[part[0] : part[-1]], part - part[0])
-                marks = [_digest(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+                marks = _marks(data[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, j - i), pa.array(marks, pa.binary())], ["__row", "__mark"])
 
     return rows.mapInArrow(run, schema).select("__row.*", "__mark")
 
 
-def _digest(h: np.ndarray) -> bytes:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+def _marks(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """128-bit digests of the word sequences: of the words' own bytes, so different texts have different ones."""
+    return [hashlib.blake2b(b" ".join(data[a:b].tobytes().split()), digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

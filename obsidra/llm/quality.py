@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITESPACE, mixed, row_struct, slices, text_buffers, word_hashes
+from .common import WHITESPACE, mixed, row_struct, slices, text_buffers, tidy, word_hashes
 
 
 @dataclass(frozen=True)
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", m
                 [batch.column("__row"), pa.array(tails.sum(1)), pa.array(top), pa.array((tails >= 0.5).sum(1).astype(np.int32)), pa.array(top >= min_tail)],
                 ["__row", *[f.name for f in added]],
             )
+        tidy()
 
     return rows.mapInArrow(run, schema).select("__row.*", *[f.name for f in added])
 

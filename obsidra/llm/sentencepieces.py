@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_struct, worker_cache
+from .common import row_struct, slices, text_buffers, tidy, worker_cache
 
 MARK = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct words kept between batches of a task.
-CACHE_WORDS = 150_000
+#: Distinct words kept between batches of a task, and decided pairs of pieces kept between tasks.
+CACHE_WORDS, CACHE_PAIRS = 100_000, 400_000
+#: Bytes of text that are cut into words at once (a longer text goes alone).
+PART_BYTES = 256 << 10
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -211,6 +213,8 @@ class Encoder:
         """Adds the ids of ``words``, depth-first through their trie."""
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
+        if len(self.lawful) > CACHE_PAIRS:
+            self.lawful.clear()
         ids = self.model.ids
         before = ""
         for word in sorted(words - self.words.keys()):
@@ -273,17 +277,6 @@ def coders(model: PieceModel) -> tuple[Encoder, Decoder]:
     return cache["pieces"][1:]
 
 
-def _parts(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    i = size = 0
-    for j, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield i, j
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ids, n_ids and round_trip (the ids decode to the text). No shuffle: each task encodes its rows."""
     added = [T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
@@ -294,14 +287,16 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coders(model)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            for i, j in _parts(texts):
-                ids, bounds = encoder.encode(texts[i:j])
+            column = batch.column("__text")
+            for i, j in slices(text_buffers(column)[1], PART_BYTES):
+                texts = column.slice(i, j - i).to_pylist()
+                ids, bounds = encoder.encode(texts)
                 back = decoder.decode(ids, bounds)
-                same = [b == t.replace(MARK, " ").encode() for b, t in zip(back, texts[i:j])]
+                same = [b == t.replace(MARK, " ").encode() for b, t in zip(back, texts)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, j - i), pa.array(np.diff(bounds)), lists, pa.array(same, pa.bool_())], ["__row", *[f.name for f in added]])
         encoder.words.clear()  # other stages need the worker's memory
+        tidy()
 
     return rows.mapInArrow(run, schema).select("__row.*", *[f.name for f in added])
 

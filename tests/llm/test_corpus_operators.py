@@ -71,21 +71,43 @@ def test_recompression_equals_brute_force(spark, width):
     assert recompression.substring_dedup(documents(spark, [])).count() == 0
 
 
-def test_suffix_array_orders_suffixes():
+def common_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("memory, blocks, size", [(64 << 20, 1024, 60), (4096, 1024, 150), (1024, 8, 1200)])
+def test_suffix_array_orders_suffixes(memory, blocks, size, monkeypatch):
+    """Memory of 1 KiB sorts through several levels of names, queues on disk and blocks of letters."""
+    monkeypatch.setattr(induced, "BLOCKS", blocks)
     rng = random.Random(2)
-    for _ in range(200):
-        data = bytes(rng.randrange(3) for _ in range(rng.randrange(60)))
-        pieces = list(induced.suffix_array(np.frombuffer(data, np.uint8), 10**6, queue_bytes=64))[::-1]
-        order = [int(x) for p in pieces for x in p[0] if x < len(data)]
+    for _ in range(60):
+        letters = rng.choice([1, 2, 3, 200])
+        data = bytes(rng.randrange(letters) + rng.choice([0, 255 - letters]) for _ in range(rng.randrange(size)))
+        data = (data * rng.choice([1, 1, 4]))[:size]
+        pieces = list(induced.byte_suffixes(np.frombuffer(data, np.uint8), 10**6, memory))
+        order = [int(x) for p in pieces for x in p[0]][::-1]
+        shared = [int(x) for p in pieces for x in p[1]][::-1]
         assert order == sorted(range(len(data)), key=lambda i: data[i:])
+        assert shared[:-1] == [common_prefix(data[a:], data[b:]) for a, b in zip(order, order[1:])]
+
+
+def test_suffix_sort_of_a_shard_far_larger_than_memory():
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    data = " ".join(rng.choice(words) for _ in range(8000)).encode()
+    data = np.frombuffer(data + data[1000:3000], np.uint8)
+    got = induced.repeated(data, 200, len(data) // 10)
+    assert (got == induced.repeated(data, 200)).all() and got.sum() == 2 * 1801
 
 
-@pytest.mark.parametrize("width", [12, 200])
-def test_suffix_dedup_equals_brute_force(spark, width):
+@pytest.mark.parametrize("width, hot, memory", [(12, 8192, 64 << 20), (12, 1, 4096), (200, 2, 64 << 20)])
+def test_suffix_dedup_equals_brute_force(spark, width, hot, memory):
     rows = corpus(3)
+    line = "this line stands in many texts, " * 5
+    rows += [(1000 + i, f"{i * 7919} {line} {i * 104729} before" + ("and after " * 30 if i % 5 == 0 else ""), "s") for i in range(20)]
     unique = sorted({(i if i is not None else -1, t or "") for i, t, _ in rows})
     count = Counter(t.encode()[p : p + width] for _, t in unique for p in range(len(t.encode()) - width + 1))
-    got = suffixdedup.suffix_dedup(documents(spark, rows).withColumn("t", F.col("text")), width).collect()
+    got = suffixdedup.suffix_dedup(documents(spark, rows).withColumn("t", F.col("text")), width, hot_runs=hot, memory=memory).collect()
     assert len(got) == len(rows)
     for r in got:
         b = (r["t"] or "").encode()

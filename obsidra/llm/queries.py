@@ -127,34 +127,30 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON v.vec_id =
 
 
 def op5_sql() -> str:
-    """The scan in SQL, with one row per occurrence of a word instead of arrays."""
+    """The scan in SQL: every place of a template's key phrase is tried, without an index."""
     from .licenses import BASE, TEMPLATES
 
-    listed = ", ".join(f"({k}, '{t.label}', '{t.text}', {t.phrase_at}, {len(t.phrase.split())})" for k, t in enumerate(TEMPLATES))
+    listed = ", ".join(f"({k}, '{t.label}', {t.words!r}, {t.places[0][0]}, {t.places[0][1]!r})" for k, t in enumerate(TEMPLATES))
+    phrases = ", ".join(f"({k}, {at}, {phrase!r})" for k, t in enumerate(TEMPLATES) for at, phrase in t.places)
     base = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM o WHERE words[i + 1 : i + {len(phrase.split())}] = {phrase.split()!r}" for phrase, label in BASE.items()
     )
     return rf"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
-), t(k, label, text, lead, phrase) AS (VALUES {listed}
-), p AS (
-    SELECT k, unnest(range(0, len(string_split(text, ' ')))) AS pos, unnest(string_split(text, ' ')) AS word FROM t
+), t(k, label, notice, lead, key) AS (VALUES {listed}
+), ph(k, lead, phrase) AS (VALUES {phrases}
 ), o AS (
     SELECT doc_id, words, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM d
-), df AS (
-    SELECT v.word, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT word FROM p) v LEFT JOIN o ON v.word = o.word GROUP BY v.word
-), ranked AS (
-    SELECT word, row_number() OVER (ORDER BY n, word) AS r FROM df
-), looked AS (
-    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth, count(*) OVER (PARTITION BY doc_id) AS held FROM (SELECT DISTINCT doc_id, o.word, r FROM o JOIN ranked ON o.word = ranked.word)
 ), place AS (
-    SELECT o.doc_id, p.k, o.i - p.pos AS off FROM o JOIN looked ON o.doc_id = looked.doc_id AND o.word = looked.word AND nth <= 6 AND held >= 2 JOIN p ON p.word = o.word GROUP BY ALL HAVING count(*) >= 2
+    SELECT o.doc_id, o.words, t.k, t.label, t.notice, o.i - t.lead AS off FROM o JOIN t ON o.word = t.key[1] AND o.words[o.i + 1 : o.i + len(t.key)] = t.key
+), whole AS (
+    SELECT doc_id, label, off, any_value(words) AS words, any_value(notice) AS notice
+    FROM place JOIN ph ON place.k = ph.k GROUP BY doc_id, place.k, label, off HAVING bool_and(off + ph.lead >= 0 AND words[off + ph.lead + 1 : off + ph.lead + len(phrase)] = phrase)
 ), aligned AS (
-    SELECT c.doc_id, t.label, t.phrase, count(*) AS size, count(*) FILTER (o.word = p.word) AS hits, count(*) FILTER (o.word = p.word AND p.pos >= t.lead AND p.pos < t.lead + t.phrase) AS held
-    FROM place c JOIN t ON c.k = t.k JOIN p ON p.k = t.k LEFT JOIN o ON o.doc_id = c.doc_id AND o.i = c.off + p.pos GROUP BY c.doc_id, c.k, c.off, t.label, t.phrase
+    SELECT doc_id, label, len(list_filter(range(0, len(notice)), lambda j: off + j >= 0 AND off + j < len(words) AND words[off + j + 1] = notice[j + 1])) / CAST(len(notice) AS DOUBLE) AS share FROM whole
 ), found AS (
-    SELECT doc_id, label, CAST(hits AS DOUBLE) / size AS share FROM aligned WHERE held = phrase AND CAST(hits AS DOUBLE) / size >= 0.5
+    SELECT doc_id, label, share FROM aligned WHERE share >= 0.5
 ), base AS ({base}
 )
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,

@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from obsidra.llm import hashforest, induced, licenses, mixing, orderhash, quality, rangejoin, recompression, sentencepieces, sharding, suffixdedup
 from obsidra.llm.components import components
-from obsidra.llm.queries import PIECE_MODEL
+from obsidra.llm.queries import PIECE_MODEL, op5_sql
 
 SCHEMA = "doc_id long, text string, source string, n_words string, `range` string"
 
@@ -266,6 +267,24 @@ def test_license_scan_hears_every_template(spark):
     assert got[0] == "all-rights-reserved,bsd" and got[1] == "bsd,cc-by-sa,mit" and got[2] == "all-rights-reserved,cc-by-sa"
 
 
+def test_license_scan_of_all_notices_in_one_file(spark):
+    rng = random.Random(16)
+    filler = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    every = [t.text for t in licenses.TEMPLATES]
+    far = rng.sample(range(len(every)), 5)
+    texts = [" . ".join(every), filler(3000) + "".join(f" {every[k]} {filler(2000)}" for k in far), " ".join(every[13:])]
+    # a GPL notice whose version is missing is no GPL notice
+    texts.append(every[17].replace("either version 3", "either edition 3"))
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got[0]["labels"] == ",".join(sorted({t.label for t in licenses.TEMPLATES}))
+    assert set(got[1]["labels"].split(",")) == {licenses.TEMPLATES[k].label for k in far}
+    assert len(got[0]["matches"]) >= len(every) and got[3]["labels"] == ""
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert {r[0]: r[6] for r in con.sql(op5_sql()).fetchall()} == {i: got[i]["labels"] for i in got}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -5,8 +5,9 @@ Each tree hashes a vector to a string of sign bits of random projections and kee
 descends every tree to its longest-prefix match (two binary searches) and ascends all trees synchronously, one bit at a
 time, taking the rows under each prefix until it holds enough distinct candidates; those are scored exactly.
 
-Rows are dealt to shards of bounded size by hash of the id, each shard with a forest of its own; queries go to the shards
-in blocks, and the shards' best are merged. Every row is indexed; ``share`` of a shard's rows is what a query looks at.
+Rows are dealt to shards of bounded size by hash of the id, each shard with a forest of its own that up to
+``BLOCK_QUERIES`` queries pass in steps (more queries come in several blocks; few shards are shared by as many blocks as there
+are cores); the shards' best are merged. Every row is indexed; ``share`` of a shard's rows is what a query looks at.
 On vectors without structure (independent components) no hash finds neighbours in far fewer: the README gives recall
 and share as measured.
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import staged
 from .rangejoin import matrix, usable
 
-TREES, BITS, SHARD_ROWS, BLOCK_QUERIES = 48, 24, 16384, 512
+TREES, BITS, SHARD_ROWS, BLOCK_QUERIES = 48, 24, 16384, 65536
+#: Queries that descend at once.
+STEP_QUERIES = 512
 #: Rows of a shard that a query scores, as a share.
 SHARE = 0.55
 SEED = 20240229
@@ -52,6 +55,10 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, enough: int):
         """For each query its candidate rows: all trees ascend together until there are ``enough``."""
+        for at in range(0, len(queries), STEP_QUERIES):
+            yield from self._ascend(queries[at : at + STEP_QUERIES], enough)
+
+    def _ascend(self, queries: np.ndarray, enough: int):
         sig = signatures(queries, np.zeros(len(queries)))
         low = np.empty((BITS + 1, TREES, len(queries)), np.int64)
         high = np.empty_like(low)
@@ -97,7 +104,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     some = staged(rows.where(f"id is not null and {usable('v')}").withColumn("dim", F.size("v")), "search", small=True)
     stats = some.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + cast(x as double) * cast(x as double))")).alias("m"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
     shards = max(1, -(-stats["n"] // SHARD_ROWS))
-    blocks = max(1, -(-stats["q"] // BLOCK_QUERIES))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-stats["q"] // BLOCK_QUERIES), min(-(-stats["q"] // STEP_QUERIES), -(-2 * cores // shards)))
     norm = float(stats["m"] or 0.0)
     index = some.select("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "id", "v")
     asked = some.where("q").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "id", "v")

@@ -11,7 +11,8 @@ a keyed order of its own; whole epochs take all blocks, the last one takes block
 reached, the block on the border gives the documents that still fit, in hash order.
 
 Defined cases: null source is a source of its own; null or empty texts count one token; repeated rows are rows of their
-own; an empty table gives an empty result; one source gets weight 1.
+own, and of equal hash go by their other columns; an empty table gives an empty result; one source gets weight 1; columns of
+the input are kept, those with the names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_struct, staged
 
+#: Columns that mixing adds.
+ADDED = ("mix_tokens", "mix_weight", "mix_repeats", "mix_epoch", "mix_block_rank", "mix_order")
+#: Rows of a block aimed at, were all of one source.
+BLOCK_ROWS = 1 << 14
 #: Sections of the exponent's interval per pass, and passes.
 SECTIONS, PASSES = 32, 5
 #: Rows of the block plan up to which it is broadcast; beyond, it is joined by shuffling.
@@ -73,7 +78,7 @@ def mix(
     target_entropy: float | None = None,
     max_repeat: float | None = 2.0,
     budget_tokens: int | None = None,
-    block_bits: int = 8,
+    block_bits: int | None = None,
     seed: int = 7,
     with_text: bool = True,
 ) -> DataFrame:
@@ -82,15 +87,18 @@ def mix(
     Added columns: mix_tokens, mix_weight, mix_repeats, mix_epoch, mix_block_rank, mix_order (read a source in the order
     of the last three). ``with_text=False`` leaves the text out of the result and of the shuffle.
     """
-    kept = [c for c in docs.columns if with_text or c != text_col]
+    if block_bits is None:
+        block_bits = min(20, max(8, (docs.count() // BLOCK_ROWS).bit_length()))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
+        row_struct(docs, (*ADDED, *(() if with_text else (text_col,)))).alias("__row"),
         key.alias("__source"),
         word_count(F.col(text_col)).alias("__tokens"),
         h.alias("__h"),
     ).withColumn("__block", F.shiftright(F.xxhash64("__h"), 64 - block_bits).cast("int"))
+    if not with_text:
+        rows = staged(rows, "mix-rows")  # texts are read and counted once
     blocks = staged(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "mix-blocks", small=True)
     totals = blocks.groupBy("__source").agg(F.sum("tokens").alias("source_tokens"))
     every = totals.agg(F.sum("source_tokens")).first()[0] or 1
@@ -129,6 +137,6 @@ def mix(
         F.col("__h").alias("mix_order"),
     )
     whole = rows.join(hint(plan.where("not cut")), ["__source", "__block"])
-    inside = Window.partitionBy("__source", "__block", "epoch").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__source", "__block", "epoch").orderBy("__h", F.to_json("__row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = rows.join(hint(plan.where("cut")), ["__source", "__block"]).withColumn("__sum", F.sum("__tokens").over(inside)).where("__sum <= room").drop("__sum")
     return out(whole).unionByName(out(border))

@@ -90,9 +90,11 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     """One row per row of ``vectors``: id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     takes_part = f"id is not null and label is not null and {usable('v')}"
-    some = rows.where(takes_part)
+    # vectors are compared by digests of their digits: they are carried once, and are no keys
+    keyed = rows.withColumn("digest", F.when(F.expr(takes_part), F.sha2(F.expr("concat_ws(',', transform(v, x -> cast(cast(x as double) + 0D as string)))"), 256)))
+    some = keyed.where(takes_part)
     # a node number of its own for each different vector, fixed by writing it: ids may repeat
-    reps = staged(some.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors", small=True).withColumn("dim", F.size("v"))
+    reps = staged(some.groupBy("label", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "vectors", small=True).withColumn("dim", F.size("v"))
     largest = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     k = min(MOST_PIVOTS, max(1, largest // CELL_ROWS))
     # a bounded sample: the k vectors of the most frequent length with the smallest hash
@@ -143,14 +145,13 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links")).select(F.col("id").alias("n1"), "links")
     parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("n2"), "component")
     known = (
-        reps.select("label", "v", "id", "node", "copies")
+        reps.select("label", "digest", "id", "node", "copies")
         .join(counts, F.col("node") == F.col("n1"), "left")
         .join(parts, F.col("node") == F.col("n2"), "left")
         .withColumn("component", F.coalesce("component", "node"))
         .withColumn("n", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     )
     least = known.groupBy("component").agg(F.min("id").alias("c"))
-    linked = known.select("label", "v", "n", "component").join(least, "component").drop("component")
-    joinable = rows.withColumn("v", F.when(F.expr(takes_part), F.col("v")))
-    out = joinable.join(linked, ["label", "v"], "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    linked = known.select("label", "digest", "n", "component").join(least, "component").drop("component")
+    out = keyed.select("id", "label", "digest").join(linked, ["label", "digest"], "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

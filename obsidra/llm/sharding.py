@@ -8,7 +8,7 @@ permutation of 0..N-1 that anyone can compute from (row number, N, seed). ``shar
 
 Defined cases: a null text has size 1 and crc32 of the empty string, as the empty text has; rows that repeat in all
 four keys take consecutive numbers, one each; null ids are ordinary keys; an empty table gives an empty result.
-Text never enters a shuffle, only its digests.
+Text never enters a shuffle, only its digests; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import mixed
 
 ROUNDS = 6
+#: Rows of a hash range: one window each.
+RANGE_ROWS = 1 << 16
 
 
 def feistel(numbers: np.ndarray, total: np.ndarray, seed: int) -> np.ndarray:
@@ -42,11 +44,14 @@ def feistel(numbers: np.ndarray, total: np.ndarray, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", bits: int = 10) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, row_number, position, shard, slot.
 
-    ``bits``: log2 of the hash ranges that are numbered on their own; the numbers do not depend on it.
+    ``bits``: log2 of the hash ranges that are numbered on their own, by default as many as give RANGE_ROWS rows each; the
+    numbers do not depend on it.
     """
+    if bits is None:
+        bits = min(20, max(10, (docs.count() // RANGE_ROWS).bit_length()))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
         F.col(id_col).alias("id"),

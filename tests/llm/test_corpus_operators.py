@@ -209,6 +209,7 @@ def test_range_join_equals_brute_force(spark, cell, monkeypatch):
 def test_hash_forest_recall_and_order(spark, monkeypatch):
     monkeypatch.setattr(hashforest, "SHARD_ROWS", 128)
     monkeypatch.setattr(hashforest, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(hashforest, "STEP_QUERIES", 3)
     rows = vectors(7, 500)
     got = defaultdict(list)
     for r in hashforest.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
@@ -439,6 +440,51 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_mixing_equals_a_plain_realisation(spark):
+    """Weights by plain bisection, then blocks and documents taken one by one in the operator's keyed order."""
+    rng = random.Random(17)
+    rows = [(i, "w " * rng.randrange(1, 40), "big" if rng.random() < 0.6 else f"s{i % 5}") for i in range(700)]
+    d = documents(spark, rows).withColumn("mix_tokens", F.lit("clash")).withColumn("mix_order", F.lit("clash"))
+    bits, seed = 3, 7
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    keyed = d.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("n"), h.alias("h"), F.shiftright(F.xxhash64(h), 64 - bits).cast("int").alias("block")).collect()
+    sources = sorted({r["source"] for r in keyed})
+    tokens = {s: sum(r["n"] for r in keyed if r["source"] == s) for s in sources}
+    total = sum(tokens.values())
+    share = {s: tokens[s] / total for s in sources}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        ratio = [share[s] ** (t - 1) for s in sources]
+        low, high = (low, t) if max(ratio) / min(ratio) <= 2 else (t, high)
+    weight = {s: share[s] ** high for s in sources}
+    norm = sum(weight.values())
+    budget = total * norm * max(share[s] ** (1 - high) for s in sources)
+    repeats = {s: budget * weight[s] / norm / tokens[s] for s in sources}
+    turns = {
+        (r["s"], r["e"], r["b"]): r["x"]
+        for r in spark.createDataFrame([("s" + s, e, b) for s in sources for e in range(3) for b in range(-(1 << bits - 1), 1 << bits - 1)], "s string, e int, b int").withColumn("x", F.xxhash64(F.lit(seed), "s", "e", "b")).collect()
+    }
+    got = mixing.mix(d, block_bits=bits, seed=seed).collect()
+    assert set(got[0].asDict()) == {*d.columns, *mixing.ADDED} and all(r["mix_tokens"] > 0 for r in got)
+    for s in sources:
+        assert abs(got and next(r["mix_repeats"] for r in got if r["source"] == s) - repeats[s]) < 1e-4
+        exact = next(r["mix_repeats"] for r in got if r["source"] == s)
+        mine = [r for r in keyed if r["source"] == s]
+        want = Counter()
+        for epoch in range(int(exact) + 1):
+            room = tokens[s] if epoch < int(exact) else int((exact - int(exact)) * tokens[s])
+            for rank, block in enumerate(sorted({r["block"] for r in mine}, key=lambda b: (turns["s" + s, epoch, b], b))):
+                inside = sorted((r for r in mine if r["block"] == block), key=lambda r: r["h"])
+                for r in inside:
+                    if room < r["n"]:
+                        room = 0
+                        break
+                    room -= r["n"]
+                    want[r["doc_id"], epoch, rank] += 1
+        assert Counter((r["doc_id"], r["mix_epoch"], r["mix_block_rank"]) for r in got if r["source"] == s) == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

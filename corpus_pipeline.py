@@ -40,8 +40,11 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by temperature weights: all at least once, none more than twice as often as another."""
-    return _documents(mixing.mix(docs, max_repeat=2.0))
+    """Documents by temperature weights: all at least once, none more than twice as often as another.
+
+    Rows of a task stand in the order of the mixture: by epoch, then by the block's turn, then inside the block.
+    """
+    return _documents(mixing.mix(docs, max_repeat=2.0).sortWithinPartitions("mix_epoch", "mix_block_rank", "mix_order"))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import by_batch
+
 DIFFERENCE = "array<struct<pointer:string,expected:string,actual:string>>"
 
 
@@ -24,7 +26,7 @@ def canonical_dumps(value: Any) -> str:
 def canonical_json(document: Column) -> Column:
     """Sorted names, no spaces, non-ASCII kept; null for what is no JSON."""
 
-    @F.udf("string")
+    @by_batch("string")
     def run(text):
         try:
             return None if text is None else canonical_dumps(json.loads(text))
@@ -89,7 +91,7 @@ def json_path(document: Column, path: str) -> Column:
         got = F.try_variant_get(F.try_parse_json(document), place, "variant")
         return F.when(got.isNotNull(), F.array(F.to_json(got))).otherwise(F.array().cast("array<string>"))
 
-    @F.udf("array<string>")
+    @by_batch("array<string>")
     def run(text):
         try:
             return [json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in find_path(json.loads(text), steps)] if text is not None else []
@@ -122,7 +124,7 @@ def unflatten(value: Mapping[str, Any]) -> dict[str, Any]:
 def flatten_json(document: Column) -> Column:
     """map<path, JSON text>."""
 
-    @F.udf("map<string,string>")
+    @by_batch("map<string,string>")
     def run(text):
         return None if text is None else {k: json.dumps(v, ensure_ascii=False) for k, v in flatten(json.loads(text)).items()}
 
@@ -202,7 +204,7 @@ def differences(expected: Any, actual: Any, subset: bool = False, at: str = "")
 def compare_output(expected: Column, actual: Column, mode: str = "exact") -> Column:
     """Differences of two JSON texts; see :func:`differences`."""
 
-    @F.udf(DIFFERENCE)
+    @by_batch(DIFFERENCE)
     def run(a, b):
         found = differences(json.loads(a or "{}"), json.loads(b or "{}"), mode == "subset")
         return [(p, canonical_dumps(e), canonical_dumps(x)) for p, e, x in found]
@@ -249,7 +251,7 @@ def merge_lines(base: Sequence[str], ours: Sequence[str], theirs: Sequence[str])
 def merge3_lines(base: Column, ours: Column, theirs: Column) -> Column:
     """struct<text, conflicts> of three texts."""
 
-    @F.udf("struct<text:string,conflicts:int>")
+    @by_batch("struct<text:string,conflicts:int>")
     def run(a, b, c):
         lines, n = merge_lines((a or "").split("\n"), (b or "").split("\n"), (c or "").split("\n"))
         return ("\n".join(lines), n)
@@ -279,7 +281,7 @@ def merge_documents(base: Any, ours: Any, theirs: Any, at: str = "") -> tuple[An
 
 
 def merge3_json(base: Column, ours: Column, theirs: Column) -> Column:
-    @F.udf("struct<document:string,conflicts:array<string>>")
+    @by_batch("struct<document:string,conflicts:array<string>>")
     def run(a, b, c):
         value, found = merge_documents(json.loads(a), json.loads(b), json.loads(c))
         return (canonical_dumps(value), found)
@@ -290,7 +292,7 @@ def merge3_json(base: Column, ours: Column, theirs: Column) -> Column:
 def diff_files(before: Column, after: Column, name: str = "file") -> Column:
     """Unified diff of two texts."""
 
-    @F.udf("string")
+    @by_batch("string")
     def run(a, b):
         return "".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), f"a/{name}", f"b/{name}"))
 
@@ -300,7 +302,7 @@ def diff_files(before: Column, after: Column, name: str = "file") -> Column:
 def gunzipped(body: Column, most: int = 64 << 20) -> Column:
     """Unpacked bytes of a gzip body, other bodies as they are; null beyond ``most`` bytes or if broken."""
 
-    @F.udf("binary")
+    @by_batch("binary")
     def run(raw):
         if raw is None or bytes(raw[:2]) != b"\x1f\x8b":
             return raw

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import by_batch
+
 #: Blocks that hold no content for a reader.
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|svg|noscript|template)\b[^>]*>.*?</\1\s*>"
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
@@ -123,7 +125,7 @@ def page_links(page: Column, url: Column, hosts: list[str] | None = None) -> Col
 def links_by_source(page: Column, source: str) -> Column:
     """array<struct<pos, href>> by a parser."""
 
-    @F.udf("array<struct<pos:int,href:string>>")
+    @by_batch("array<struct<pos:int,href:string>>")
     def run(text):
         return [(i, h) for i, h in enumerate(link_rows(text or "", source))]
 
@@ -133,7 +135,7 @@ def links_by_source(page: Column, source: str) -> Column:
 def charset_of(header: Column, body: Column) -> Column:
     """Charset of a page: header, then meta element, then UTF-8 if the bytes are, else windows-1251."""
 
-    @F.udf("string")
+    @by_batch("string")
     def run(content_type, raw):
         named = re.search(r"charset=[\"']?([\w-]+)", content_type or "", re.I)
         data = bytes(raw or b"")
@@ -172,7 +174,7 @@ def _typed(node: dict[str, Any], kind: str) -> bool:
 def ld_products(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """One row per JSON-LD product and offer: url, name, sku, price, currency, availability."""
 
-    @F.udf("array<struct<name:string,sku:string,price:string,currency:string,availability:string>>")
+    @by_batch("array<struct<name:string,sku:string,price:string,currency:string,availability:string>>")
     def run(text):
         rows = []
         for node in ld_nodes(text or ""):
@@ -187,23 +189,45 @@ def ld_products(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
     return pages.select(F.col(url), F.explode(run(F.col(page))).alias("p")).select(url, "p.*")
 
 
+def _identity(url: Any, base: str) -> tuple | None:
+    """What two URLs of one page share: host, path without a final slash, sorted query."""
+    if not isinstance(url, str) or not url.strip():
+        return None
+    try:
+        parts = urlsplit(urljoin(base, url.strip()))
+    except ValueError:
+        return None
+    return ((parts.hostname or "").lower(), parts.path.rstrip("/") or "/", tuple(sorted(parts.query.split("&"))))
+
+
+def bound_article(nodes: list[dict[str, Any]], address: str) -> dict[str, Any] | None:
+    """The node that names the page, the one with the longest body of several; a single node that names no page; else none."""
+    mine, bound, free = _identity(address, address), [], []
+    for node in nodes:
+        values = [node.get(k) for k in ("url", "@id", "mainEntityOfPage")]
+        named = {_identity((v.get("@id") or v.get("url")) if isinstance(v, dict) else v, address) for v in values} - {None}
+        if mine in named:
+            bound.append(node)
+        elif not named:
+            free.append(node)
+    if bound:
+        return max(bound, key=lambda n: len(str(n.get("articleBody") or "")))
+    return free[0] if len(nodes) == len(free) == 1 else None
+
+
 def ld_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """The article node that is bound to the page's URL, or the only one: url, headline, published, author, body."""
+    """The article node bound to each page (see :func:`bound_article`): url, headline, published, author, body."""
 
-    @F.udf("struct<headline:string,published:string,author:string,body:string>")
+    @by_batch("struct<headline:string,published:string,author:string,body:string>")
     def run(address, text):
         found = [n for n in ld_nodes(text or "") if any(_typed(n, k) for k in ("Article", "NewsArticle", "BlogPosting", "ReportageNewsArticle"))]
-
-        def place(node):
-            main = node.get("mainEntityOfPage")
-            return (main.get("@id") if isinstance(main, dict) else main) or node.get("url") or ""
-
-        same = [n for n in found if str(place(n)).rstrip("/") == (address or "").rstrip("/")] or (found if len(found) == 1 else [])
-        if not same:
+        node = bound_article(found, address or "")
+        if node is None:
             return None
-        author = same[0].get("author")
+        author = node.get("author")
         author = author[0] if isinstance(author, list) and author else author
-        return (same[0].get("headline"), same[0].get("datePublished"), author.get("name") if isinstance(author, dict) else author, same[0].get("articleBody"))
+        text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        return (text_of(node.get("headline")), text_of(node.get("datePublished")), text_of(author.get("name") if isinstance(author, dict) else author), text_of(node.get("articleBody")))
 
     return pages.select(F.col(url), run(F.col(url), F.col(page)).alias("a")).where("a is not null").select(url, "a.*")
 
@@ -211,7 +235,7 @@ def ld_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
 def breadcrumb(page: Column) -> Column:
     """Names of the breadcrumb list in order."""
 
-    @F.udf("array<string>")
+    @by_batch("array<string>")
     def run(text):
         for node in ld_nodes(text or ""):
             if _typed(node, "BreadcrumbList"):
@@ -253,7 +277,7 @@ class _Cells(HTMLParser):
 def attributes_table(page: Column) -> Column:
     """map<name, value> of two-column tables and definition lists; the first of a name stays."""
 
-    @F.udf("map<string,string>")
+    @by_batch("map<string,string>")
     def run(text):
         parser = _Cells()
         parser.feed(re.sub(HIDDEN, " ", text or ""))
@@ -314,7 +338,7 @@ def html_digest(page: Column, most: int) -> Column:
 def item_list(page: Column) -> Column:
     """array<struct<position, url, name>> of the items a category page lists."""
 
-    @F.udf("array<struct<position:int,url:string,name:string>>")
+    @by_batch("array<struct<position:int,url:string,name:string>>")
     def run(text):
         rows = []
         for node in ld_nodes(text or ""):

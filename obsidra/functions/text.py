@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import by_batch
+
 #: Latin letters for Cyrillic ones (Ukrainian and Russian).
 LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "h", "ґ": "g", "д": "d", "е": "e", "є": "ie", "ё": "e", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "i", "й": "i",
@@ -110,7 +112,7 @@ def neutralise(text: Column, tag: str = "data") -> Column:
 def render_template(template: Column, values: Column) -> Column:
     """``{{path}}`` filled from a map of strings; what is unknown stays empty."""
 
-    @F.udf("string")
+    @by_batch("string")
     def run(text, given):
         return None if text is None else re.sub(r"\{\{\s*([\w.]+)\s*\}\}", lambda m: (given or {}).get(m[1], ""), text)
 
@@ -134,7 +136,7 @@ def quantity(text: Column, units: dict[str, float]) -> Column:
 def make_model(title: Column, slug_: Column) -> Column:
     """(make, model) of a title whose make is the start of the URL slug."""
 
-    @F.udf("struct<make:string,model:string>")
+    @by_batch("struct<make:string,model:string>")
     def run(text, name):
         words, parts = (text or "").split(), (name or "").lower().split("-")
         n = 0

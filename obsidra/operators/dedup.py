@@ -14,9 +14,18 @@ def first_rows(rows: DataFrame, key: Sequence[str], arrival: str) -> DataFrame:
 
 
 def repeated_deliveries(rows: DataFrame, key: str, arrival: str) -> DataFrame:
-    """``rows`` with ``repeated``: not the first arrival of its delivery."""
-    first = rows.groupBy(key).agg(F.min(arrival).alias("__first"))
-    return rows.join(first, key).withColumn("repeated", F.col(arrival) > F.col("__first")).drop("__first")
+    """``rows`` with ``repeated``: not the first arrival of its delivery.
+
+    Of arrivals at one time the one with the smaller other columns is first, of equal rows any one; rows without a key are
+    deliveries of their own.
+    """
+    others = [c for c in rows.columns if c not in (key, arrival)]
+    place = F.struct(arrival, *others)
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__first"))
+    marked = alike.join(first, F.col(key) == F.col("__key"), "left").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    later = F.col(key).isNotNull() & ((place > F.col("__first")) | (F.col("__i") > 1))
+    return marked.select(*rows.columns, later.alias("repeated"))
 
 
 def admit(found: DataFrame, known: DataFrame, url: str, arrival: str, in_scope: Column, max_depth: int, depth: str = "depth") -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.documents import validation_problems
+
 
 @dataclass
 class Entity:
@@ -60,6 +62,19 @@ def run_handler(materials: DataFrame, handler: Callable[[str, str, dict[str, Any
     return materials.select("material_id", "url", "content").mapInPandas(run, SCHEMA)
 
 
+def checked(results: DataFrame, required: dict[str, dict[str, str]]) -> DataFrame:
+    """``results`` with ``problems`` of their entities by the schema of their type ({type: {member: kind}}); a success with
+    problems becomes ``invalid``. A type without a schema is a problem of its own."""
+    def problems(e):
+        found = F.when(~e["entity_type"].isin(list(required)), F.array(F.concat(F.lit("unknown type "), e["entity_type"])))
+        for kind, members in required.items():
+            found = found.when(e["entity_type"] == kind, validation_problems(e["fields"], members))
+        return found
+
+    out = results.withColumn("problems", F.flatten(F.transform("entities", problems)))
+    return out.withColumn("status", F.when((F.col("status") == "success") & (F.size("problems") > 0), "invalid").otherwise(F.col("status")))
+
+
 def entities_of(results: DataFrame) -> DataFrame:
     """One row per entity, with its position for delivery keys."""
     return results.where("status = 'success'").select("material_id", F.posexplode("entities").alias("position", "e")).select("material_id", "position", "e.*")

@@ -7,22 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a lookup table up to which it is broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def small(table: DataFrame) -> DataFrame:
-    """``table`` with a broadcast hint if a count shows that it is small; else as it is, joined by shuffling."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
 
 def dictionary(rows: DataFrame, column: str, id_name: str = "id") -> DataFrame:
-    """(value, id): ids are hashes of the value, equal on every run, so no numbering pass over all values is needed."""
-    return rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn(id_name, F.xxhash64(column))
+    """(value, id): ids are 128 bits of the value's SHA-256, equal on every run, so no numbering pass over all values is needed."""
+    return rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn(id_name, F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 32))
 
 
 def encode(rows: DataFrame, column: str, table: DataFrame, id_name: str = "id") -> DataFrame:
-    return rows.join(table, column, "left")
+    """``rows`` with the id of their value, under ``id_name``; a null has none. Whether the table is broadcast follows from its size at run time."""
+    return rows.join(table.select(column, F.col(id_name)), column, "left")
 
 
 def null_safe_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,12 +34,17 @@ def longest_prefix(path: Column, table: Mapping[str, str]) -> Column:
 
 
 def longest_prefix_join(rows: DataFrame, path: str, table: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
-    """The same against a table of any size: a row looks up each of its own prefixes (an equi join), the longest wins."""
+    """``rows`` with ``match``, the row of ``table`` with the longest prefix of their path, or null: every row stays.
+
+    Each different path looks up its own prefixes (an equi join), the longest wins.
+    """
     parts = F.split(path, separator)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), separator).alias("p"), n.alias("n")))
-    keyed = rows.withColumn("__id", F.struct(*rows.columns)).withColumn("__x", F.explode(prefixes)).select("__id", F.col("__x.p").alias(prefix), F.col("__x.n").alias("__n"))
-    hit = keyed.join(table, prefix).groupBy("__id").agg(F.max_by(F.struct(*table.columns), "__n").alias("match"))
-    return hit.select("__id.*", "match")
+    paths = rows.select(path).where(F.col(path).isNotNull()).distinct()
+    keyed = paths.withColumn("__x", F.explode(prefixes)).select(path, F.col("__x.p").alias("__prefix"), F.col("__x.n").alias("__n"))
+    other = table.select(F.col(prefix).alias("__prefix"), F.struct(*table.columns).alias("__match"))
+    best = keyed.join(other, "__prefix").groupBy(path).agg(F.max_by("__match", "__n").alias("match"))
+    return rows.join(best, path, "left")
 
 
 def stem_match(words: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -61,7 +59,7 @@ def seen_in_earlier(frontier: DataFrame, earlier: DataFrame, url: str = "url") -
 def free_slots(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Stages of runs whose running items stay below their limit: (run_id, stage, running, free)."""
     running = items.groupBy("run_id", "stage").agg(F.count_if(F.col("status") == "running").alias("running"))
-    return running.join(small(limits), "stage").withColumn("free", F.col("parallel_limit") - F.col("running")).where("free > 0")
+    return running.join(limits, "stage").withColumn("free", F.col("parallel_limit") - F.col("running")).where("free > 0")
 
 
 def adopt_deferred(deferred: DataFrame, checkpoints: DataFrame) -> DataFrame:

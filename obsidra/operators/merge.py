@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import numbered_rows
+
 
 def problems_of(record: DataFrame) -> DataFrame:
     """``record`` with ``problem``: why it can't be merged, else null."""
@@ -28,9 +30,13 @@ def problems_of(record: DataFrame) -> DataFrame:
 
 
 def first_deliveries(records: DataFrame, key: str = "delivery_key", arrival: str = "arrival") -> DataFrame:
-    """The first arrival of every delivery. Aggregated per key before the shuffle, whatever a key's frequency."""
-    whole = F.struct(*records.columns)
-    return records.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.col(arrival)).alias("r")).select("r.*")
+    """The first arrival of every delivery; records without a key are deliveries of their own.
+
+    Aggregated per key before the shuffle, whatever a key's frequency.
+    """
+    keyed = records.where(F.col(key).isNotNull())
+    first = keyed.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*records.columns), F.col(arrival)).alias("r")).select("r.*")
+    return first.unionByName(records.where(F.col(key).isNull()))
 
 
 def writes(records: DataFrame) -> DataFrame:
@@ -42,11 +48,25 @@ def writes(records: DataFrame) -> DataFrame:
     return records.select("entity", "order", "delivery_key", "arrival", F.explode(made).alias("w")).select("entity", "w.*", "order", "delivery_key", "arrival")
 
 
+#: Arrivals that one window takes at most, where they are numbers: longer histories are cut and joined by their bests.
+ARRIVALS = 1 << 20
+
+
 def judged(write_rows: DataFrame) -> DataFrame:
-    """Writes with ``applied``: strictly newer than all that arrived before for the field."""
-    before = Window.partitionBy("entity", "field").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("order").over(before)
-    return write_rows.withColumn("applied", best.isNull() | (F.col("order") > best))
+    """Writes with ``applied``: strictly newer than all that arrived before for the field.
+
+    Two passes: the best order of each stretch of arrivals, then the best before each write inside its stretch.
+    """
+    key = ["entity", "field"]
+    rows = write_rows.withColumn("__part", F.floor(F.col("arrival") / ARRIVALS))
+    parts = rows.groupBy(*key, "__part").agg(F.max("order").alias("__most"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__part").alias("__p"), F.max("__most").over(before).alias("__earlier"))
+    same = (F.col("__part") == F.col("__p")) & F.col("entity").eqNullSafe(F.col("__entity")) & F.col("field").eqNullSafe(F.col("__field"))
+    inside = Window.partitionBy(*key, "__part").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.greatest(F.max("order").over(inside), F.col("__earlier"))
+    joined = rows.join(parts, same)
+    return joined.withColumn("applied", best.isNull() | (F.col("order") > best)).select(*write_rows.columns, "applied")
 
 
 def field_state(write_rows: DataFrame) -> DataFrame:
@@ -74,17 +94,19 @@ def snapshots(records: DataFrame) -> DataFrame:
 def history(records: DataFrame) -> DataFrame:
     """One row per accepted delivery: version, applied and stale fields (sorted), status."""
     accepted = first_deliveries(records)
-    numbered = accepted.withColumn("version", F.row_number().over(Window.partitionBy("entity").orderBy("arrival")))
-    fields = judged(writes(accepted)).groupBy("delivery_key").agg(
+    numbered = numbered_rows(accepted, ["entity"], [F.col("arrival")], F.floor(F.col("arrival") / ARRIVALS), "version")
+    fields = judged(writes(accepted)).groupBy("entity", "delivery_key", "arrival").agg(
         F.array_sort(F.collect_list(F.when(F.col("applied"), F.col("field")))).alias("applied_fields"),
         F.array_sort(F.collect_list(F.when(~F.col("applied"), F.col("field")))).alias("stale_fields"),
     )
     none = F.array().cast("array<string>")
+    same = F.col("entity").eqNullSafe(F.col("__entity")) & F.col("delivery_key").eqNullSafe(F.col("__delivery_key")) & (F.col("arrival") == F.col("__arrival"))
     return (
         numbered.select("entity", "delivery_key", "arrival", "order", "version")
-        .join(fields, "delivery_key", "left")
+        .join(fields.select(*[F.col(c).alias(f"__{c}") for c in ("entity", "delivery_key", "arrival")], "applied_fields", "stale_fields"), same, "left")
         .withColumns({"applied_fields": F.coalesce("applied_fields", none), "stale_fields": F.coalesce("stale_fields", none)})
         .withColumn("status", status_of(F.col("applied_fields"), F.col("stale_fields")))
+        .drop("__entity", "__delivery_key", "__arrival")
     )
 
 

@@ -11,10 +11,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import by_batch
+
 Resolver = Mapping[str, Column]
 
 
@@ -166,41 +170,54 @@ def scope_reason(url: Column, scope: Mapping[str, Any]) -> Column:
 ROBOTS_RULE = T.StructType([T.StructField("allow", T.BooleanType()), T.StructField("path", T.StringType())])
 
 
-def robots_rules(text: str, agent: str) -> list[tuple[bool, str]]:
-    """The rules that hold for ``agent``: those of its most specific group, else of ``*``; equal groups merge."""
-    groups: dict[str, list[tuple[bool, str]]] = {}
-    current: list[str] = []
-    open_group = False
+def _robots_lines(text: str, agent: str) -> list[tuple[str, str]]:
+    """(key, value) lines of the groups that hold for ``agent``: those whose name is the longest that begins the agent's
+    or is begun by it, else ``*``."""
+    groups: list[tuple[list[str], list[tuple[str, str]]]] = []
     for line in text.lstrip("\ufeff").splitlines():
         key, colon, value = line.partition("#")[0].partition(":")
         key, value = key.strip().lower(), value.strip()
         if not colon:
             continue
         if key == "user-agent":
-            if not open_group:
-                current = []
-            current.append(value.lower())
-            groups.setdefault(value.lower(), [])
-            open_group = True
-        elif key in ("allow", "disallow"):
-            open_group = False
-            for name in current:
-                if value:
-                    groups[name].append((key == "allow", value))
-        elif key == "crawl-delay":
-            open_group = False
-    name = max((g for g in groups if g != "*" and g and agent.lower().startswith(g)), key=len, default="*")
-    return groups.get(name, [])
+            if not groups or groups[-1][1]:
+                groups.append(([], []))
+            groups[-1][0].append(value.lower())
+        elif key in ("allow", "disallow", "crawl-delay") and groups:
+            groups[-1][1].append((key, value))
+    wanted = agent.lower()
+    names = {n for own, _ in groups for n in own}
+    fits = [n for n in names if n == "*" or n and (wanted.startswith(n) or n.startswith(wanted))]
+    most = max((0 if n == "*" else len(n) for n in fits), default=-1)
+    best = {n for n in fits if (0 if n == "*" else len(n)) == most}
+    return [x for own, lines in groups if best & set(own) for x in lines]
+
+
+def robots_rules(text: str, agent: str) -> list[tuple[bool, str]]:
+    """The rules that hold for ``agent``, their paths decoded as targets are; an empty one is none."""
+    return [(key == "allow", unquote(value)) for key, value in _robots_lines(text, agent) if key != "crawl-delay" and value]
+
+
+def crawl_delay(text: str, agent: str) -> float | None:
+    """Seconds between requests that a robots file asks ``agent`` for: the largest of its numbers."""
+    numbers = []
+    for key, value in _robots_lines(text, agent):
+        if key == "crawl-delay":
+            try:
+                numbers.append(float(value))
+            except ValueError:
+                continue
+    return max(numbers, default=None)
 
 
 def robots_parsed(text: Column, agent: str) -> Column:
     """Rules of captured robots files."""
+    return by_batch(T.ArrayType(ROBOTS_RULE))(lambda body: robots_rules(body or "", agent))(text)
 
-    @F.udf(T.ArrayType(ROBOTS_RULE))
-    def run(body):
-        return robots_rules(body or "", agent)
 
-    return run(text)
+def robots_delay(text: Column, agent: str) -> Column:
+    """Crawl delay of captured robots files."""
+    return by_batch("double")(lambda body: crawl_delay(body or "", agent))(text)
 
 
 def robots_allowed(target: Column, rules: Column) -> Column:

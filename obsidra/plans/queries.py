@@ -373,9 +373,9 @@ def received_bounds(spark, sf):
 def dictionary_encode(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source")
     ids = joins.dictionary(d, "source")
-    encoded = joins.encode(d, "source", joins.small(ids))
+    encoded = joins.encode(d, "source", ids)
     counts = encoded.groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
-    return encoded.join(joins.small(counts), "id").select("doc_id", "source", "documents")
+    return encoded.join(counts, "id").select("doc_id", "source", "documents")
 
 
 @query("WITH m AS (SELECT doc_id, source AS name, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS kind FROM documents), n AS (SELECT name, kind, count(*) AS uses FROM m GROUP BY ALL) SELECT m.doc_id, n.uses FROM m LEFT JOIN n ON m.name IS NOT DISTINCT FROM n.name AND m.kind IS NOT DISTINCT FROM n.kind")

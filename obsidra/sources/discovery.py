@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import find_path, path_steps, safe_xml
 from ..functions.urls import UrlRules, expand_template, url_normalize
+from ..functions.vectors import by_batch
 
 ENTRY = "array<struct<url:string,lastmod:string>>"
 
@@ -50,7 +51,7 @@ def robots_sitemaps(text: Column) -> Column:
 def sitemap_entries(body: Column, most: int | None = None) -> Column:
     """struct<kind, entries, dropped> of a sitemap: urlset, sitemapindex, feed or plain text of URLs."""
 
-    @F.udf(f"struct<kind:string,entries:{ENTRY},dropped:int>")
+    @by_batch(f"struct<kind:string,entries:{ENTRY},dropped:int>")
     def run(raw):
         data = bytes(raw or b"")
         root = safe_xml(data) if data.lstrip()[:1] == b"<" else None
@@ -101,7 +102,7 @@ def feed_links(root) -> Iterator[tuple[str, str | None]]:
 def feed_entries(body: Column, most: int | None = None) -> Column:
     """Entries of a feed, all or the first ``most``."""
 
-    @F.udf(ENTRY)
+    @by_batch(ENTRY)
     def run(raw):
         root = safe_xml(bytes(raw or b""))
         return [] if root is None else list(itertools.islice(feed_links(root), most))
@@ -135,7 +136,7 @@ def api_items(body: Column, items_path: str, url_path: str | None = None, lastmo
     """array<struct<url, lastmod, item>> of a JSON answer; item is the item's own document."""
     items, url, last = path_steps(items_path), path_steps(url_path) if url_path else None, path_steps(lastmod_path) if lastmod_path else None
 
-    @F.udf("array<struct<url:string,lastmod:string,item:string>>")
+    @by_batch("array<struct<url:string,lastmod:string,item:string>>")
     def run(text):
         try:
             document = json.loads(text)

@@ -65,23 +65,32 @@ def observation_of(materials: DataFrame) -> DataFrame:
     return materials.select("material_id", F.struct(F.col("fetched_at").alias("observed_at"), F.lit(-1).cast("long").alias("sequence"), "observation_id").alias("order"))
 
 
-def sitemap_walk(captures: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+def sitemap_walk(captures: DataFrame, roots: DataFrame, depth: int | None = None, most: int | None = None) -> DataFrame:
     """(url, lastmod) listed by the sitemaps reachable from ``roots`` (url), by captured bodies (url, body binary).
 
     An index adds its sitemaps to the next level; every level joins the captures once and is checkpointed.
-    All levels are walked, or the first ``depth``; a sitemap is visited once, so loops end.
+    All levels are walked, or the first ``depth``; a sitemap is visited once, so loops end. What the limits leave out is in
+    :func:`sitemap_walk_counted`.
     """
-    parsed = captures.select("url", sitemap_entries(F.col("body")).alias("s"))
-    level, seen, found = roots.select("url").distinct(), roots.select("url").distinct(), None
+    return sitemap_walk_counted(captures, roots, depth, most)[0]
+
+
+def sitemap_walk_counted(captures: DataFrame, roots: DataFrame, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The walk, and (url, dropped) of what limits cut: entries beyond ``most`` of a sitemap, sitemaps below ``depth`` (dropped null)."""
+    parsed = captures.select("url", sitemap_entries(F.col("body"), most).alias("s"))
+    level, seen, found, cut = roots.select("url").distinct(), roots.select("url").distinct(), None, None
+    add = lambda a, b: b if a is None else a.unionByName(b)
     for _ in itertools.count() if depth is None else range(depth):
-        hit = level.join(parsed, "url").select("s.kind", F.explode("s.entries").alias("e")).select("kind", "e.*").checkpoint()
-        pages = hit.where("kind != 'sitemapindex'").select("url", "lastmod")
-        found = pages if found is None else found.unionByName(pages)
+        read = level.join(parsed, "url").checkpoint()
+        hit = read.select("s.kind", F.explode("s.entries").alias("e")).select("kind", "e.*")
+        found = add(found, hit.where("kind != 'sitemapindex'").select("url", "lastmod"))
+        cut = add(cut, read.where("s.dropped > 0").select("url", F.col("s.dropped").alias("dropped")))
         level = hit.where("kind = 'sitemapindex'").select("url").distinct().join(seen, "url", "left_anti").checkpoint()
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return found.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
+    cut = add(cut, level.select("url", F.lit(None).cast("int").alias("dropped")))
+    return found.groupBy("url").agg(F.max("lastmod").alias("lastmod")), cut
 
 
 def robots_roots(robots: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stores as partitioned tables: objects, entity history and state, deliveries. One writer per store.
 
-Tables are append-only Parquet; state is an aggregate of history, kept as a table per generation. A write goes to a new
-generation and becomes visible when its name is recorded, so a failed write leaves the old one.
+Tables are append-only Parquet; state is an aggregate of history. A commit becomes visible when its name is recorded, so a
+failed one leaves the old state, whoever opens the store next.
 """
 
 from __future__ import annotations
@@ -78,33 +78,79 @@ class ObjectStore:
         return page(rows, [("stored_at", False), ("object_id", False)], limit, cursor)
 
 
+#: Parts of an entity state: a commit rewrites those that its entities fall into.
+STATE_PARTS = 64
+
+
 class EntityStore:
-    """History of change records and the field state folded from them."""
+    """History of change records and the field state folded from them.
+
+    A commit writes history, then the parts of the state that its entities fall into, under its own number; last it names,
+    by one rename, for each part the commit that holds it. Nothing is seen before that: what a failed commit left is
+    overwritten by the next one, and every instance on the same path reads the newest names.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.generation = 0
 
-    def _history(self) -> str:
-        return f"{self.path}/history"
+    def _fs(self, *parts: str):
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    @property
+    def generation(self) -> int:
+        """Number of the newest commit, as stored; 0 for none."""
+        fs, place = self._fs("commits")
+        if not fs.exists(place):
+            return 0
+        names = [x.getPath().getName() for x in fs.listStatus(place)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _parts(self, generation: int) -> list[int]:
+        """The commit that holds each part of the state."""
+        if not generation:
+            return [0] * STATE_PARTS
+        return [int(x) for x in self.spark.read.text(f"{self.path}/commits/{generation}").first()[0].split(",")]
+
+    def _publish(self, generation: int, parts: list[int]) -> None:
+        fs, new = self._fs("commits", f"_{generation}")
+        out = fs.create(new, True)
+        out.writeBytes(",".join(map(str, parts)) + "\n")
+        out.close()
+        if not fs.rename(new, self._fs("commits", str(generation))[1]):
+            raise RuntimeError(f"commit {generation} was made by another writer")
 
     def records(self) -> DataFrame:
-        return self.spark.read.parquet(self._history())
+        """All accepted records of commits that were completed."""
+        rows = self.spark.read.parquet(f"{self.path}/history")
+        return rows.where(F.col("commit") <= self.generation).drop("commit")
 
     def commit(self, batch: DataFrame) -> DataFrame:
-        """Appends new deliveries of a batch and returns the field state after it."""
+        """Appends new deliveries of a batch and returns the field state after it; a known delivery changes nothing."""
+        number = self.generation + 1
         fresh = first_deliveries(batch)
-        if self.generation:
+        if number > 1:
             fresh = fresh.join(self.records().select("delivery_key"), "delivery_key", "left_anti").select(*batch.columns)
-        fresh = fresh.checkpoint()
-        state = merged_update(self.state(), fresh) if self.generation else field_state(writes(fresh))
-        state.write.mode("overwrite").parquet(f"{self.path}/state-{self.generation + 1}")
-        fresh.write.mode("append").parquet(self._history())
-        self.generation += 1
+        fresh.write.mode("overwrite").parquet(f"{self.path}/history/commit={number}")
+        fresh = self.spark.read.schema(batch.schema).parquet(f"{self.path}/history/commit={number}")
+        part = F.pmod(F.xxhash64("entity"), F.lit(STATE_PARTS)).cast("int")
+        touched = [r[0] for r in fresh.select(part.alias("p")).distinct().collect()]  # at most STATE_PARTS
+        parts = self._parts(number - 1)
+        old = self._state([(p, parts[p]) for p in touched if parts[p]])
+        new = field_state(writes(fresh)) if old is None else merged_update(old, fresh)
+        new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/state/{number}")
+        self._publish(number, [number if p in touched else g for p, g in enumerate(parts)])
         return self.state()
 
+    def _state(self, held: list[tuple[int, int]]) -> DataFrame | None:
+        paths = [f"{self.path}/state/{g}/part={p}" for p, g in held]
+        return self.spark.read.parquet(*paths) if paths else None
+
     def state(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/state-{self.generation}")
+        generation = self.generation
+        found = self._state([(p, g) for p, g in enumerate(self._parts(generation)) if g])
+        return found if found is not None else self.spark.createDataFrame([], "entity string, field string, op string, value string, order struct<observed_at:timestamp,sequence:bigint,observation_id:string>")
 
     def entities(self) -> DataFrame:
         return snapshots(self.records())

@@ -127,3 +127,14 @@ def next_fire(expression: str, after: datetime, zone: str = "UTC") -> datetime |
                 if at.astimezone(ZoneInfo("UTC")).astimezone(ZoneInfo(zone)).hour == hour and at > local:
                     return at.astimezone(after.tzinfo)
     return None
+
+
+def next_fires(expression: str, after: Column, zone: str = "UTC") -> Column:
+    """:func:`next_fire` of every moment of a column (session zone UTC)."""
+
+    @F.pandas_udf("timestamp")
+    def run(values: pd.Series) -> pd.Series:
+        found = [None if pd.isna(v) else next_fire(expression, v.to_pydatetime().replace(tzinfo=ZoneInfo("UTC")), zone) for v in values]
+        return pd.to_datetime(pd.Series(found, dtype="object"), utc=True).dt.tz_localize(None)
+
+    return run(after)

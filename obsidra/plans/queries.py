@@ -6,8 +6,6 @@ materials with text; ``conversations`` for message streams; ``orders`` and its d
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +14,7 @@ from ..functions import keys, pages, semver, text, times, urls
 from ..operators import dedup, joins, merge, packages, paging, predicates, reports, routing, sampling, series, warehouse
 from ..session import table
 from ..sources import discovery
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query
 
 # ------------------------------------------------------------------ change records
 
@@ -333,7 +315,7 @@ def robots_allowed(spark, sf):
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'")
 def stored_within(spark, sf):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
-    return table(spark, sf, "events").where((F.col("ts") >= at("2024-01-05 00:00:00")) & (F.col("ts") < at("2024-01-06 00:00:00"))).select("event_id")
+    return table(spark, sf, "events").where(predicates.stored_within(F.col("ts"), at("2024-01-05 00:00:00"), at("2024-01-06 00:00:00"))).select("event_id")
 
 
 # ------------------------------------------------------------------ joins
@@ -341,25 +323,28 @@ def stored_within(spark, sf):
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def semi_exists(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return joins.seen_in_earlier(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_not_exists(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    found = table(spark, sf, "customer").select("c_custkey", F.lit(0).alias("depth"))
+    known = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return dedup.admit(found, known, "c_custkey", "depth", F.lit(True), 0).select("c_custkey")
 
 
 @query("SELECT o_orderkey, c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 def inner_projection_view(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 300000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
-    return o.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").drop("c_custkey")
+    o = table(spark, sf, "orders").where("o_totalprice > 300000").select("o_orderkey", F.col("o_custkey").alias("url"), "o_orderstatus")
+    return warehouse.article_analysis(o, table(spark, sf, "customer").select(F.col("c_custkey").alias("url"), "c_mktsegment")).drop("url")
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey")
 def left_projection_view(spark, sf):
-    n = table(spark, sf, "nation").where("n_nationkey % 2 = 0")
-    s = table(spark, sf, "supplier")
-    return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
+    n = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("event_id"), "n_name", "n_regionkey")
+    s = warehouse.article_with_event(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("event_id")), n)
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("event_id"), "r_name")
+    return warehouse.article_with_event(s.withColumn("event_id", F.col("n_regionkey")), r).select("s_suppkey", "n_name", "r_name")
 
 
 @query("SELECT n_name, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -408,7 +393,7 @@ def free_slots(spark, sf):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def percentile_nearest_rank(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return series.percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("WITH e AS (SELECT event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 1000000) AS BIGINT) * 60 AS t FROM events), p AS (SELECT event_type, s AS moment, 1 AS c FROM e UNION ALL SELECT event_type, t, -1 FROM e), g AS (SELECT event_type, moment, sum(c) AS c FROM p GROUP BY ALL)"
@@ -525,7 +510,8 @@ def link_patterns(spark, sf):
     return p.groupBy("pattern").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+@query("WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) AS q FROM pages), n AS (SELECT page_id, lower(regexp_extract(base, '^https?://[^/]*')) || coalesce(nullif(regexp_replace(regexp_replace(base, '^https?://[^/]*', ''), '/+$', ''), ''), '/') AS base, list_sort(list_filter(string_split(q, '&'), lambda x: x != '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)='))) AS q FROM p)"
+       " SELECT page_id, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM n")
 def url_normalize(spark, sf):
     rules = urls.UrlRules(strip_params=("utm_*", "ref"), trailing_slash="remove")
     return table(spark, sf, "pages").select("page_id", urls.url_normalize(F.col("url"), rules).alias("canonical"))
@@ -564,8 +550,8 @@ def search_score(spark, sf):
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', CAST(p_partkey AS VARCHAR), p_name)), 'blue')")
 def search_entities(spark, sf):
-    p = table(spark, sf, "part")
-    return p.where(F.contains(F.lower(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name")), F.lit("blue"))).select("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("canonical_key"), F.struct("p_name").alias("key"), F.struct("p_size").alias("fields"))
+    return paging.search_entities(p, "Blue").select("p_partkey")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, false AS other_found FROM events")
@@ -588,10 +574,12 @@ def object_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", keys.object_key(F.lit(None).cast("string"), keys.material_id(F.col("url")), F.concat(F.lit("obs"), F.col("page_id").cast("string")), F.lit("2024-03-05 10:00:00").cast("timestamp_ntz"), F.lit("html")).alias("object_key"))
 
 
-@query("SELECT * FROM (VALUES ('a', '1.10.0'), ('b', '2.0.0'), ('c', '1.0.0-rc.11')) t(package_id, version)")
+@query("SELECT package_id, version FROM (SELECT event_type AS package_id, arg_max((k // 20 + 1) || '.' || (k % 20) || '.0' || CASE WHEN event_id % 2 = 0 THEN '-rc.' || (event_id % 13) ELSE '' END, CAST(k AS HUGEINT) * 1000 + CASE WHEN event_id % 2 = 0 THEN event_id % 13 ELSE 500 END) AS version FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1)")
 def semver_max(spark, sf):
-    rows = [("a", "1.2.0"), ("a", "1.10.0"), ("a", "1.9.9"), ("b", "2.0.0-alpha"), ("b", "2.0.0"), ("c", "1.0.0-rc.2"), ("c", "1.0.0-rc.11"), ("c", "1.0.0-beta"), ("c", "x")]
-    return spark.createDataFrame(rows, "package_id string, version string").groupBy("package_id").agg(semver.latest(F.col("version")).alias("version"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    pre = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("-rc."), (F.col("event_id") % 13).cast("string"))).otherwise("")
+    version = F.concat((F.floor(k / 20) + 1).cast("string"), F.lit("."), (k % 20).cast("string"), F.lit(".0"), pre)
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("package_id")).agg(semver.latest(version).alias("version"))
 
 
 @query("SELECT conv_id, turn, CAST(turn * 1000 + least(s, 999) AS BIGINT) AS sequence FROM (SELECT conv_id, turn, sum(c) OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) AS s, turn // 4 AS sec FROM (SELECT conv_id, turn, CASE WHEN role != lag(role) OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) THEN 1 ELSE 0 END AS c FROM conversations)) WHERE false"
@@ -601,9 +589,16 @@ def revision_sequence(spark, sf):
     return keys.revision_sequence(c, "conv_id", "edit_second", "sha", "turn").select("conv_id", "turn", F.col("sequence").cast("long").alias("sequence"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, turn - 1 AS parent FROM conversations), r AS (SELECT conv_id, max(turn) AS depth FROM conversations GROUP BY 1) SELECT conv_id, depth FROM r")
+@query("SELECT conv_id, count(*) - 1 AS depth FROM conversations GROUP BY 1 HAVING count(*) > 1")
 def message_depth(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("depth"))
+    """Longest chain of answers: each message answers the one before it in its conversation."""
+    from pyspark.sql import Window
+
+    name = lambda turn: F.concat_ws("/", "conv_id", turn)
+    parent = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf, "conversations").select(name("turn").alias("package_id"), F.when(parent.isNotNull(), name(parent)).alias("fork_parent"))
+    chains = packages.lineage(c, 64).groupBy("package_id").agg(F.max("distance").alias("d"))
+    return chains.groupBy(F.substring_index("package_id", "/", 1).cast("long").alias("conv_id")).agg(F.max("d").cast("long").alias("depth"))
 
 
 @query("SELECT user_id, event_id, o AS older FROM (SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS o FROM events)")
@@ -627,3 +622,6 @@ def budget_status(spark, sf):
 @query("SELECT doc_id, coalesce(nullif(array_to_string(list_slice(list_filter(regexp_split_to_array(translate(lower(source), '_', '-'), '[^a-z0-9]+'), lambda x: x != ''), 1, 4), '-'), ''), '') AS slug, source || ' cut' AS name FROM documents")
 def names_and_slugs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(F.col("source"), 4).alias("slug"), text.norm_name(F.concat(F.lit(" «"), F.col("source"), F.lit("»  Cut! "))).alias("name"))
+
+
+from . import goldens, relations  # noqa: E402, F401  they register queries of their own

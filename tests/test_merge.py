@@ -1,10 +1,12 @@
 """Merging: the acceptance cases, and equality with a sequential fold on random records."""
 
 import random
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from obsidra.operators import merge
+from obsidra.operators import merge, series
 
 SCHEMA = "entity string, fields map<string,string>, cleared array<string>, at long, sequence long, observation string, delivery_key string, arrival long"
 
@@ -88,3 +90,46 @@ def test_equals_a_sequential_fold(spark):
     assert got == want
     assert {x["entity"]: x["version"] for x in merge.snapshots(r).collect()} == versions
     assert merge.state_difference(merge.field_state(merge.writes(merge.first_deliveries(r))), merge.field_state(merge.writes(merge.first_deliveries(r.repartition(3))))).count() == 0
+
+
+def test_store_survives_restarts_and_failed_commits(spark, tmp_path, monkeypatch):
+    from obsidra.sources.stores import EntityStore
+
+    def batch(*rows):
+        return spark.createDataFrame(
+            [(e, {"v": v}, [], (datetime(2024, 1, 1, 0, n), n, "o"), d, n) for e, v, n, d in rows],
+            "entity string, fields map<string,string>, cleared array<string>, order struct<observed_at:timestamp,sequence:long,observation_id:string>, delivery_key string, arrival long",
+        )
+
+    state = lambda store: {r["entity"]: r["value"] for r in store.state().collect()}
+    path = str(tmp_path / "store")
+    assert state(EntityStore(spark, path)) == {}
+    EntityStore(spark, path).commit(batch(("a", "1", 1, "d1"), ("c", "1", 1, "d0")))
+    again = EntityStore(spark, path)
+    again.commit(batch(("a", "9", 9, "d1"), ("b", "2", 2, "d2")))  # d1 is known
+    assert state(again) == state(EntityStore(spark, path)) == {"a": "1", "b": "2", "c": "1"}
+    assert again.records().count() == 3 and again.delivery("d1").count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(EntityStore, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            EntityStore(spark, path).commit(batch(("a", "3", 3, "d3")))
+    fresh = EntityStore(spark, path)
+    assert state(fresh)["a"] == "1" and fresh.delivery("d3").count() == 0 and fresh.records().count() == 3
+    fresh.commit(batch(("a", "4", 4, "d4"), ("a", "4", 4, None)))
+    assert state(EntityStore(spark, path))["a"] == "4" and fresh.entities().where("entity = 'a'").first()["version"] == 3
+
+
+def test_windows_do_not_depend_on_stretches(spark):
+    rng = random.Random(3)
+    rows = [(i % 2, rng.randrange(5000), rng.randrange(300)) for i in range(400)]
+    d = spark.createDataFrame(rows, "g int, s long, n long").withColumn("t", F.col("s") + F.col("n"))
+    peaks = [{r["g"]: r["peak"] for r in series.max_concurrency(d, ["g"], "s", "t", stretch).collect()} for stretch in (7, 1 << 40)]
+    most = {r["g"]: r["most"] for r in series.max_in_window(d, ["g"], "s", 30).collect()}
+    for g in (0, 1):
+        own = [(s, s + n) for k, s, n in rows if k == g]
+        assert peaks[0][g] == peaks[1][g] == max(sum(a <= s < b for a, b in own) for s, _ in own)
+        assert most[g] == max(sum(s - 30 < a <= s for a, _ in own) for s, _ in own)
+    numbered = series.numbered_rows(d, ["g"], [F.col("s"), F.col("n")], F.floor(F.col("s") / 100), "i", "all").collect()
+    for g in (0, 1):
+        own = sorted((r for r in numbered if r["g"] == g), key=lambda r: r["i"])
+        assert [r["i"] for r in own] == list(range(1, 201)) and [(r["s"], r["n"]) for r in own] == sorted((r["s"], r["n"]) for r in own) and {r["all"] for r in own} == {200}

@@ -46,13 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts lineage and outlives lost executors.
 
-    ``small``: rows are few next to the work that makes them, so files follow their bytes (a rebalance before writing);
-    the work itself keeps its parallelism.
+    ``small``: rows are few next to the work that makes them, so they go to a sixteenth of the shuffle partitions before
+    writing, of which adaptive execution splits those beyond its advisory size; the work itself keeps its parallelism.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/obsidra/{name}-{uuid.uuid4().hex}"
     if small:
-        df = df.hint("rebalance")
+        df = df.hint("rebalance", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

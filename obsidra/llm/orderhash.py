@@ -67,11 +67,11 @@ def order_sketches(h: np.ndarray, first: np.ndarray, shingle: int = SHINGLE, tup
     order = np.lexsort((base, owner))
     again = np.zeros(len(order), bool)
     again[1:] = (base[order][1:] == base[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-    if again.any():
-        place = np.arange(len(order))
-        label = np.empty(len(order), np.uint64)
-        label[order] = (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64)
-        base = mixed(base + label * np.uint64(0xD6E8FEB86659FD93))
+    # every shingle is mixed with its label, whether its slice of texts holds repetitions or not
+    place = np.arange(len(order))
+    label = np.empty(len(order), np.uint64)
+    label[order] = (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64)
+    base = mixed(base + label * np.uint64(0xD6E8FEB86659FD93))
     begin = np.append(0, np.cumsum(grams[has]))[:-1]
     rank = np.repeat(np.arange(len(has)), grams[has])
     top = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -215,8 +215,8 @@ def bound_article(nodes: list[dict[str, Any]], address: str) -> dict[str, Any] |
     return free[0] if len(nodes) == len(free) == 1 else None
 
 
-def ld_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """The article node bound to each page (see :func:`bound_article`): url, headline, published, author, body."""
+def ld_article(url: Column, page: Column) -> Column:
+    """struct<headline, published, author, body> of the article node bound to a page (see :func:`bound_article`), or null."""
 
     @by_batch("struct<headline:string,published:string,author:string,body:string>")
     def run(address, text):
@@ -229,7 +229,33 @@ def ld_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
         text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
         return (text_of(node.get("headline")), text_of(node.get("datePublished")), text_of(author.get("name") if isinstance(author, dict) else author), text_of(node.get("articleBody")))
 
-    return pages.select(F.col(url), run(F.col(url), F.col(page)).alias("a")).where("a is not null").select(url, "a.*")
+    return run(url, page)
+
+
+def ld_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """The article node bound to each page: url, headline, published, author, body."""
+    return pages.select(F.col(url), ld_article(F.col(url), F.col(page)).alias("a")).where("a is not null").select(url, "a.*")
+
+
+def page_articles(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """One row per page with its article: structured data first, then what the page itself shows.
+
+    Added: title (JSON-LD, og:title, first h1, title element), published, author, body (JSON-LD, the text of the first article
+    element, or of main), paywalled (the page says so) and problem (``no article`` without a body).
+    """
+    html = F.col(page)
+    part = lambda tag: F.nullif(visible_text(F.regexp_extract(outside_blocks(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)), F.lit(""))
+    rows = pages.withColumn("__a", ld_article(F.col(url), html))
+    rows = rows.withColumns(
+        {
+            "title": F.coalesce("__a.headline", meta(html, "og:title"), part("h1"), F.nullif(title(html), F.lit(""))),
+            "published": F.coalesce("__a.published", html_meta(html)["published"]),
+            "author": F.coalesce("__a.author", meta(html, "author")),
+            "body": F.coalesce("__a.body", part("article"), part("main")),
+            "paywalled": F.coalesce(html.rlike(r'(?i)"isAccessibleForFree"\s*:\s*"?false'), F.lit(False)),
+        }
+    )
+    return rows.withColumn("problem", F.when(F.col("body").isNull(), "no article")).drop("__a")
 
 
 def breadcrumb(page: Column) -> Column:

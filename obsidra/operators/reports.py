@@ -90,6 +90,23 @@ def entity_types(entities: DataFrame) -> DataFrame:
     return entities.rollup("entity_type").agg(F.count(F.lit(1)).alias("entities"))
 
 
+def state_summary(snapshots: DataFrame) -> DataFrame:
+    """Entities, their versions and the last arrival, per type and in total (null type)."""
+    return snapshots.rollup("entity_type").agg(F.count(F.lit(1)).alias("entities"), F.sum("version").alias("versions"), F.max("updated").alias("updated"))
+
+
+def budget_ledger(operations: DataFrame, now: Column, ttl_s: int) -> DataFrame:
+    """Per scope: settled and held cost of its reservations (reservation, op, amount, at).
+
+    A reservation counts with what it was settled at; a released one, or one neither settled nor released within ``ttl_s``
+    seconds, counts nothing; any other holds what it reserved. Repeated operations count once.
+    """
+    of = lambda op, c: F.max(F.when(F.col("op") == op, F.col(c)))
+    one = operations.groupBy("scope", "reservation").agg(of("reserve", "amount").alias("reserved"), of("reserve", "at").alias("since"), of("settle", "amount").alias("settled"), of("release", "at").isNotNull().alias("released"))
+    open_ = F.col("settled").isNull() & ~F.col("released") & (F.timestamp_diff("SECOND", F.col("since"), now) <= ttl_s)
+    return one.groupBy("scope").agg(F.coalesce(F.sum("settled"), F.lit(0)).alias("settled"), F.coalesce(F.sum(F.when(open_, F.col("reserved"))), F.lit(0)).alias("held"))
+
+
 def object_statistics(objects: DataFrame) -> DataFrame:
     return objects.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))
 

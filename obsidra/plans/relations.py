@@ -605,3 +605,36 @@ def versions_in_order(spark, sf):
 def entities_searched(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("canonical_key"), F.struct(F.col("c_mktsegment").alias("s")).alias("key"), F.struct(F.col("c_nationkey").alias("b")).alias("fields"))
     return paging.search_entities(c, "Building").select("c_custkey")
+
+
+@query("WITH o AS (SELECT event_id, user_id % 7 AS scope, event_id // 3 AS r, CASE event_id % 3 WHEN 0 THEN 'reserve' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'settle' ELSE 'note' END ELSE CASE WHEN user_id % 5 = 0 THEN 'release' ELSE 'note' END END AS op, event_id % 50 AS amount, ts FROM events),"
+       " one AS (SELECT scope, r, max(CASE WHEN op = 'reserve' THEN amount END) AS reserved, max(CASE WHEN op = 'reserve' THEN ts END) AS since, max(CASE WHEN op = 'settle' THEN amount END) AS settled, count(*) FILTER (op = 'release') > 0 AS released FROM o GROUP BY ALL)"
+       " SELECT scope, CAST(coalesce(sum(settled), 0) AS BIGINT) AS settled, CAST(coalesce(sum(CASE WHEN settled IS NULL AND NOT released AND epoch_us(TIMESTAMP '2024-01-20') - epoch_us(since) < (864000 + 1) * 1000000::BIGINT THEN reserved END), 0) AS BIGINT) AS held FROM one GROUP BY 1")
+def budget_reservations(spark, sf):
+    e, u = F.col("event_id"), F.col("user_id")
+    op = F.when(e % 3 == 0, "reserve").when((e % 3 == 1) & (u % 2 == 0), "settle").when((e % 3 == 2) & (u % 5 == 0), "release").otherwise("note")
+    o = table(spark, sf, "events").select((u % 7).alias("scope"), F.floor(e / 3).alias("reservation"), op.alias("op"), (e % 50).alias("amount"), F.col("ts").alias("at"))
+    return reports.budget_ledger(o, _ntz("2024-01-20 00:00:00"), 864000)
+
+
+@query("WITH s AS (SELECT event_type AS entity_type, user_id, count(*) AS version, max(event_id) AS updated FROM events GROUP BY ALL) SELECT entity_type, count(*) AS entities, CAST(sum(version) AS BIGINT) AS versions, max(updated) AS updated FROM s GROUP BY 1 UNION ALL SELECT NULL, count(*), CAST(sum(version) AS BIGINT), max(updated) FROM s")
+def state_totals(spark, sf):
+    s = table(spark, sf, "events").groupBy(F.col("event_type").alias("entity_type"), "user_id").agg(F.count(F.lit(1)).alias("version"), F.max("event_id").alias("updated"))
+    return reports.state_summary(s)
+
+
+_HIDDEN_SQL = "'(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<svg\\b[^>]*>.*?</svg\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>|<template\\b[^>]*>.*?</template\\s*>'"
+
+
+def _shown(tag: str) -> str:
+    inner = f"regexp_replace(regexp_extract(h, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '(?s)<[^>]*>', ' ', 'g')"
+    for sign, text_ in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        inner = f"replace({inner}, '{sign}', '{text_}')"
+    return f"nullif(trim(regexp_replace({inner}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '')"
+
+
+@query(f"WITH p AS (SELECT page_id, regexp_replace(html, {_HIDDEN_SQL}, ' ', 'g') AS h, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages)"
+       f" SELECT page_id, coalesce({_shown('h1')}, nullif(t, '')) AS title, length(coalesce({_shown('article')}, {_shown('main')})) AS body, CASE WHEN coalesce({_shown('article')}, {_shown('main')}) IS NULL THEN 'no article' END AS problem FROM p")
+def articles_of_pages(spark, sf):
+    a = pages.page_articles(table(spark, sf, "pages"))
+    return a.select("page_id", "title", F.length("body").cast("long").alias("body"), "problem")

@@ -213,8 +213,13 @@ def rolling(h: np.ndarray, width: int, seed: int) -> np.ndarray:
         size *= 2
 
 
-def tidy() -> None:
-    """Gives memory that this worker has freed back to the system: workers live on through later stages."""
+def tidy(used: int = 1 << 30) -> None:
+    """Gives memory that this worker has freed back to the system: workers live on through later stages.
+
+    ``used``: bytes of text that were at hand; a small group leaves things as they are, for there are many of them.
+    """
+    if used < 4 * SLICE_BYTES:
+        return
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -340,7 +340,7 @@ def _compared(docs: DataFrame, undecided: DataFrame, id_col: str, text_col: str,
                 if similar(mine, words(p), similarity):
                     parent[a] = b
                     good.append((marks[r], marks[p]))
-        tidy()
+        tidy(len(data))
         return pa.table({"mark": pa.array([a for a, _ in good], pa.binary()), "hub": pa.array([b for _, b in good], pa.binary())})
 
     return joined.groupBy("key", "low", "high").applyInArrow(compare, "mark binary, hub binary")
@@ -372,7 +372,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
         head = next((words(r) for r in range(len(marks)) if mine[r] and marks[r] == hub), None)
         rows = {marks[r]: r for r in range(len(marks)) if mine[r] and marks[r] != hub}
         good = [mark for mark, r in rows.items() if head is not None and similar(words(r), head, similarity)]
-        tidy()
+        tidy(len(data))
         return pa.table({"mark": pa.array(good, pa.binary()), "hub": pa.array([hub] * len(good), pa.binary())})
 
     return joined.groupBy("hub", "part").applyInArrow(verify, "mark binary, hub binary")

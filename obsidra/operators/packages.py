@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import differences, merge_lines
 from ..functions.semver import is_version, latest, sort_key
+from ..session import checkpointed
 
 #: A fixed time for archive members (the earliest one a zip can hold).
 ARCHIVE_TIME = (1980, 1, 1, 0, 0, 0)
@@ -45,7 +46,7 @@ def lineage(packages: DataFrame, depth: int = 16) -> DataFrame:
     out, reach = step, 1
     while reach < depth:
         longer = out.alias("a").join(out.alias("b"), F.col("a.ancestor") == F.col("b.package_id")).select("a.package_id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        out = out.unionByName(longer).groupBy("package_id", "ancestor").agg(F.min("distance").alias("distance")).where(F.col("distance") <= depth).checkpoint()
+        out = checkpointed(out.unionByName(longer).groupBy("package_id", "ancestor").agg(F.min("distance").alias("distance")).where(F.col("distance") <= depth))
         reach *= 2
     return out
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents, keys, pages, semver, text, times, urls
 from ..operators import checks, dedup, handlers, joins, merge, packages, paging, predicates, reports, routing, series, warehouse
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import discovery, materials, stores
 from ..streaming import streams
 from .registry import query
@@ -554,15 +556,7 @@ def raw_object_rows(spark, sf):
 
 
 def _store_dir(spark, name: str) -> str:
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="obsidra-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/obsidra-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/obsidra-{name}-{uuid.uuid4().hex}"
 
 
 def _store_records(spark, sf) -> DataFrame:

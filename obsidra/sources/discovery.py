@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import find_path, path_steps, safe_xml
 from ..functions.urls import UrlRules, expand_template, url_normalize
+from ..session import checkpointed
 from ..functions.vectors import by_batch
 
 ENTRY = "array<struct<url:string,lastmod:string>>"
@@ -166,13 +167,13 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, rules: UrlRules =
     """
     link = links.select(F.col("url").alias("parent"), url_normalize(F.col("target"), rules).alias("url")).where("url is not null").distinct()
     level = seeds.select(url_normalize(F.col("url"), rules).alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("url is not null").dropDuplicates(["url"])
-    seen = level = level.checkpoint()
+    seen = level = checkpointed(level)
     for depth in range(1, max_depth + 1):
         step = link.join(level.select(F.col("url").alias("parent")), "parent").groupBy("url").agg(F.min("parent").alias("parent"))
-        level = step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "parent").checkpoint()
+        level = checkpointed(step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "parent"))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level).checkpoint()
+        seen = checkpointed(seen.unionByName(level))
     return seen
 
 

@@ -13,6 +13,7 @@ from ..functions.pages import html_meta
 from ..functions.text import search_score
 from ..functions.times import parse_datetime_lenient
 from ..functions.urls import content_kind
+from ..session import checkpointed
 from .discovery import feed_autodiscovery, feed_entries, robots_sitemaps, sitemap_entries
 
 
@@ -81,11 +82,11 @@ def sitemap_walk_counted(captures: DataFrame, roots: DataFrame, depth: int | Non
     level, seen, found, cut = roots.select("url").distinct(), roots.select("url").distinct(), None, None
     add = lambda a, b: b if a is None else a.unionByName(b)
     for _ in itertools.count() if depth is None else range(depth):
-        read = level.join(parsed, "url").checkpoint()
+        read = checkpointed(level.join(parsed, "url"))
         hit = read.select("s.kind", F.explode("s.entries").alias("e")).select("kind", "e.*")
         found = add(found, hit.where("kind != 'sitemapindex'").select("url", "lastmod"))
         cut = add(cut, read.where("s.dropped > 0").select("url", F.col("s.dropped").alias("dropped")))
-        level = hit.where("kind = 'sitemapindex'").select("url").distinct().join(seen, "url", "left_anti").checkpoint()
+        level = checkpointed(hit.where("kind = 'sitemapindex'").select("url").distinct().join(seen, "url", "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,30 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filteraudit import audit, document_cells
+
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return audit(document_cells(docs, read_table(spark, sf_dir, "labels")), "ABCDE", lost={"good_lost": "good", "toxic_lost": "toxic"})
+
+
+#: The vocabulary file of the byte-level queries; read on the driver only.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenalign import align
+
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return align(docs, Path(BYTE_VOCABULARY).read_text(), Path(PIECE_MODEL).read_bytes())
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bestpack import pack
+
+    return pack(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), Path(BYTE_VOCABULARY).read_text())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression_dedup": op1_recompression_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -92,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_hash_prefix_forest": op10_hash_prefix_forest,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 OP1_SQL = r"""
@@ -162,4 +190,42 @@ LEFT JOIN (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labe
 """
 
 
-ORACLES: dict[str, str] = {"op5_license_scan": op5_sql(), "op4_pivot_range_join": OP4_SQL, "op1_recompression_dedup": OP1_SQL}
+#: Every order of the filters is run through, step by step.
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+            'D': regexp_matches(text, '[#$%&*|]'), 'E': w.doc_id > min(w.doc_id) OVER (PARTITION BY text)} AS fails
+    FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), letters(letter) AS (
+    VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders(o) AS (
+    SELECT '' UNION ALL SELECT o || letter FROM orders JOIN letters ON NOT contains(o, letter)
+), kinds AS (
+    SELECT part, good, toxic, list_sort(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: struct_extract(fails, 'A') AND x = 'A' OR struct_extract(fails, 'B') AND x = 'B'
+           OR struct_extract(fails, 'C') AND x = 'C' OR struct_extract(fails, 'D') AND x = 'D' OR struct_extract(fails, 'E') AND x = 'E')) AS failed, count(*) AS n
+    FROM f GROUP BY ALL
+), steps AS (
+    SELECT o AS filter_order, step, o[step] AS letter, string_split(o[1 : step - 1], '') AS before, string_split(o[1 : step], '') AS after
+    FROM orders, range(1, 6) s(step) WHERE length(o) = 5
+), done AS (
+    SELECT part, filter_order, step, letter,
+           sum(CASE WHEN NOT list_has_any(failed, after) THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN list_contains(failed, letter) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN list_contains(failed, letter) AND list_has_any(failed, before) THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN failed = [letter] THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN good AND list_contains(failed, letter) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS good_lost,
+           sum(CASE WHEN toxic AND list_contains(failed, letter) AND NOT list_has_any(failed, before) THEN n ELSE 0 END) AS toxic_lost
+    FROM kinds, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM done
+"""
+
+ORACLES: dict[str, str] = {"op11_filter_audit": OP11_SQL, "op5_license_scan": op5_sql(), "op4_pivot_range_join": OP4_SQL, "op1_recompression_dedup": OP1_SQL}

@@ -19,7 +19,7 @@ CONTRACTS = {
 def test_one_query_per_operator():
     names = list(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
 
 
@@ -32,7 +32,7 @@ def test_columns(spark, prefix):
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, SF)

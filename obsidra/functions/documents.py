@@ -330,6 +330,11 @@ def packed(text: str) -> bytes:
     return gzip.compress(text.encode(), mtime=0)
 
 
+def gzipped(body: Column) -> Column:
+    """``body`` packed by :func:`packed`'s rule."""
+    return F.udf(lambda b: None if b is None else gzip.compress(bytes(b), mtime=0), "binary", useArrow=True)(body)
+
+
 def validation_problems(document: Column, required: Mapping[str, str]) -> Column:
     """Pointers of required members that are missing or of another kind (string, number, boolean, object, array)."""
     doc = F.try_parse_json(document)

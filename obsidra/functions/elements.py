@@ -69,6 +69,7 @@ class _Tree(HTMLParser):
         self.attributes: list[list[tuple[str, str]]] = []
         self.texts: list[tuple[int, str]] = []
         self.open: list[int] = []
+        self.apart = True  # whether a tag stood since the last text
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes, barrier = _CLOSES.get(tag, (frozenset(), frozenset()))
@@ -80,6 +81,7 @@ class _Tree(HTMLParser):
                     break
             elif name in barrier or not closes:
                 break
+        self.apart = True
         place = len(self.tag)
         self.parent.append(self.open[-1] if self.open else -1)
         self.tag.append(tag)
@@ -96,6 +98,7 @@ class _Tree(HTMLParser):
             self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
+        self.apart = True
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.tag[self.open[depth]]
             if name == tag:
@@ -105,8 +108,12 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not data.isspace():
-            self.texts.append((self.open[-1] if self.open else -1, data))
+        owner = self.open[-1] if self.open else -1
+        if self.texts and not self.apart:
+            self.texts[-1] = (owner, self.texts[-1][1] + data)
+        elif not data.isspace():
+            self.texts.append((owner, data))
+            self.apart = False
 
 
 def tree(page: str | None) -> dict | None:
@@ -144,20 +151,20 @@ def tree(page: str | None) -> dict | None:
 
 
 def page_tree(page: Column) -> Column:
-    """struct<elements, texts> of a page; null for null. Materialise it once per page, as a column."""
+    """struct<elements, texts> of a page; null for null. Select it as a column first: expressions over it hold lambdas, in
+    which no Python function may stand."""
 
     @F.arrow_udf(SCHEMA)
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([tree(p) for p in pages.to_pylist()], PAGE)
 
-    return run(page)
+    return run.asNondeterministic()(page)  # so that no plan parses a page twice, or inside a lambda
 
 
-def subtree_text(tree_: Column, place: Column, hidden: Column | None = None) -> Column:
-    """Text of the element at ``place`` and all inside it, single spaces; ``hidden``: places whose texts don't count."""
+def subtree_text(tree_: Column, place: Column, hidden: Column) -> Column:
+    """Text of the element at ``place`` and all inside it, single spaces; ``hidden``: flags of elements whose own texts don't count."""
     end = F.get(tree_["elements"], place)["last"]
-    shown = lambda t: (t["owner"] >= place) & (t["owner"] <= end)
-    texts = F.filter(tree_["texts"], shown if hidden is None else lambda t: shown(t) & ~F.array_contains(hidden, t["owner"]))
+    texts = F.filter(tree_["texts"], lambda t: (t["owner"] >= place) & (t["owner"] <= end) & ~F.coalesce(F.get(hidden, t["owner"]), F.lit(False)))
     return single_spaced(F.array_join(F.transform(texts, lambda t: t["text"]), " "))
 
 

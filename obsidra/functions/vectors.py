@@ -9,5 +9,5 @@ from pyspark.sql.types import DataType
 
 
 def by_batch(returns: str | DataType) -> Callable:
-    """Decorator: a function of one value of each column; values come and go as Arrow batches, never one by one."""
+    """Decorator: a function of one value of each column, called once a row; rows come and go as Arrow batches."""
     return lambda f: F.udf(f, returns, useArrow=True)

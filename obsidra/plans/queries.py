@@ -524,7 +524,8 @@ def page_titles(spark, sf):
 
 @query("SELECT page_id, pos, href FROM (SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<svg\\b[^>]*>.*?</svg\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>|<template\\b[^>]*>.*?</template\\s*>', ' ', 'g'), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1) AS l FROM pages))")
 def page_hrefs(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.posexplode(pages.hrefs(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+    found = pages.link_rows(table(spark, sf, "pages").select("page_id", "html"), "a")
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
 @query("SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<svg\\b[^>]*>.*?</svg\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>|<template\\b[^>]*>.*?</template\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS n FROM pages")
@@ -532,17 +533,6 @@ def visible_text_length(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(pages.visible_text(F.col("html"))).cast("long").alias("n"))
 
 
-@query()
-def page_link_graph(spark, sf):
-    p = table(spark, sf, "pages").select("url", F.explode(pages.page_links(F.col("html"), F.col("url"))).alias("target"))
-    return p.groupBy("target").agg(F.count(F.lit(1)).alias("in_degree"))
-
-
-@query()
-def page_digests(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(pages.lean_html(F.col("html"), 2000)).alias("lean"), F.length(pages.html_digest(F.col("html"), 1500)).alias("digest"))
-
-
 @query("SELECT doc_id, round(coalesce(len(list_filter(['the', 'license', 'en'], lambda w: list_contains(l, w)))::DOUBLE / 3, 0), 6) AS score FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+') AS l FROM documents)")
 def search_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(text.search_score(F.lit("the License en"), F.col("text")), 6).alias("score"))
@@ -624,4 +614,4 @@ def names_and_slugs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.slug(F.col("source"), 4).alias("slug"), text.norm_name(F.concat(F.lit(" «"), F.col("source"), F.lit("»  Cut! "))).alias("name"))
 
 
-from . import goldens, relations  # noqa: E402, F401  they register queries of their own
+from . import contents, relations  # noqa: E402, F401  they register queries of their own

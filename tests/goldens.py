@@ -1,4 +1,4 @@
-"""Functions of single values on cases that take every branch, dealt over the events."""
+"""Functions of single values on cases that take every branch: (arguments as texts or null, and the result as text)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,22 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import documents, keys, pages, text, times, urls
-from ..functions.vectors import by_batch
-from ..operators import predicates
-from ..sources import discovery
-from .registry import cases
+from obsidra.functions import documents, keys, pages, text, times, urls
+from obsidra.operators import predicates
+from obsidra.sources import discovery
+
+CASES, TREES = {}, set()
+
+
+def cases(name, given, value):
+    CASES[name] = (given, value)
+
+
+def tree_cases(name, given, value):
+    """``value`` takes a page's tree."""
+    TREES.add(name)
+    cases(name, given, value)
+
 
 _json = F.to_json
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -118,16 +129,14 @@ cases(
 )
 cases("page_canonical", [('<link rel="canonical" href="https://e.com/a">', "https://e.com/a"), ("<link href='/b' rel=canonical>", "/b"), ('<!-- <link rel="canonical" href="/no"> -->', None), ('<link rel="alternate" href="/c">', None)], pages.declared_canonical)
 cases("page_charset", [("text/html; charset=KOI8-R", "61", "koi8-r"), (None, "3c6d65746120636861727365743d22757466" "2d38223e", "utf-8"), (None, "d0bc", "utf-8"), ("text/html", "ece8f0", "windows-1251"), (None, None, "utf-8")], lambda h, b: pages.charset_of(h, F.unhex(b)))
-for _source, _want in [("a_href", '[{"pos":0,"href":"/a"},{"pos":1,"href":"/n"}]'), ("link_rel", '[{"pos":0,"href":"/c"},{"pos":1,"href":"/alt"}]'), ("canonical", '[{"pos":0,"href":"/c"}]'), ("pagination_rel", '[{"pos":0,"href":"/n"}]')]:
-    cases(f"page_links_{_source}", [('<link rel="canonical" href="/c"><link rel=alternate href=/alt><a href=" /a ">x</a><a rel="next nofollow" href="/n">2</a><script><a href="/no"></script>', _want), ("<p>", "[]"), (None, "[]")], lambda p, s=_source: _json(pages.links_by_source(p, s)))
+for _source, _want in [("a_href", '[" /a ","/n"]'), ("link_rel", '["/c","/alt"]'), ("canonical", '["/c"]'), ("pagination_rel", '["/n"]')]:
+    tree_cases(f"page_links_{_source}", [('<link rel="canonical" href="/c"><link rel=alternate href=/alt><a href=" /a ">x</a><a rel="next nofollow" href="/n">2</a><script><a href="/no"></script>', _want), ("<p>", "[]"), (None, "[]")], lambda t, s=_source: _json(pages.extract_hrefs(t, sources=(s,))))
 _LD = '<script type="application/ld+json">%s</script>'
-cases("page_breadcrumb", [(_LD % '{"@type":"BreadcrumbList","itemListElement":[{"position":2,"item":{"name":"B"}},{"position":1,"name":"A"}]}', '["A","B"]'), (_LD % "{broken", "[]"), (None, "[]")], lambda p: _json(pages.breadcrumb(p)))
-cases("page_attributes", [("<table><tr><th>Color:</th><td> dark  red </td></tr><tr><td>only</td></tr></table><dl><dt>Size</dt><dd>10</dd><dt>Color</dt><dd>no</dd></dl>", '{"Color":"dark red","Size":"10"}'), ("<p>", "{}"), (None, "{}")], lambda p: _json(pages.attributes_table(p)))
-cases("page_items", [(_LD % '{"@graph":[{"@type":["ItemList"],"itemListElement":[{"position":3,"url":"/a","name":"A"},{"item":{"@id":"/b","name":"B"}}]}]}', '[{"position":3,"url":"/a","name":"A"},{"position":2,"url":"/b","name":"B"}]'), ("<p>", "[]"), (None, "[]")], lambda p: _json(pages.item_list(p)))
-cases("page_cards", [('<div class="card x"><a href="/1">One <b>1</b></a></div><div class="card"><a href="/2">Two</a></div>', '[{"href":"/1","text":"One 1"},{"href":"/2","text":"Two"}]'), ("<p>", "[]"), (None, None)], lambda p: _json(pages.cards(p, "card")))
+tree_cases("page_breadcrumb", [(_LD % '{"@type":"BreadcrumbList","itemListElement":[{"position":2,"item":{"name":"B"}},{"position":1,"name":"A"}]}', '["A","B"]'), (_LD % "{broken", "[]"), (None, "[]")], lambda t: _json(pages.breadcrumb(t)))
+tree_cases("page_attributes", [("<table><tr><th>Color:</th><td> dark  red </td></tr><tr><td>only</td></tr></table><dl><dt>Size</dt><dd>10</dd><dt>Color</dt><dd>no</dd></dl>", '{"Color":"dark red","Size":"10"}'), ("<p>", "{}"), (None, "{}")], lambda t: _json(pages.attributes_table(t)))
+tree_cases("page_items", [(_LD % '{"@graph":[{"@type":["ItemList"],"itemListElement":[{"position":3,"url":"/a","name":"A"},{"item":{"@id":"/b","name":"B"}}]}]}', '[{"position":3,"url":"/a","name":"A"},{"position":2,"url":"/b","name":"B"}]'), ("<p>", "[]"), (None, "[]")], lambda t: _json(pages.item_list(t)))
+tree_cases("page_cards", [('<div class="card x"><a href="/1">One <b>1</b></a></div><div class="card"><a href="/2">Two</a></div>', '[{"href":"/1","text":"One 1"},{"href":"/2","text":"Two"}]'), ("<p>", "[]"), (None, None)], lambda t: _json(pages.cards(t, ".card")))
 cases("message_places", [("ab 12 cd 345", '[{"pos":0,"text":"12"},{"pos":1,"text":"345"}]'), ("none", "[]"), (None, None)], lambda t: _json(pages.message_events(t, r"\d+")))
-cases("page_digest_parts", [("<title>T</title><p>Hello  &amp; bye</p>", "[head]\n<title>T</title>\n[text]\nT Hello & bye\n[markup]\n<title>T</title><p>Hello &amp; bye</p>\n"), (None, None)], lambda p: pages.html_digest(p, 400))
-cases("page_leaned", [("<p>short</p>", "<p>short</p>"), ("<div class='a' onclick='go()'>  x <script>1</script><!-- c --> y</div>", "<div class='a'> x y</div>"), (None, None)], lambda p: pages.lean_html(p, 25))
 
 # ------------------------------------------------------------------ discovery
 
@@ -191,4 +200,3 @@ cases("natural_keys", [("1", "ї", '{"a":"1","b":"ї"}'), ("q\"", "", '{"a":"q\\
 cases("object_deliveries", [("d", "0", "d"), ("d", "1", "d#raw1"), (None, "0", None)], lambda d, i: keys.object_delivery_key(d, i.cast("int")))
 cases("entity_deliveries", [("d", "0", "d#0"), ("d", "12", "d#12"), (None, "1", None)], lambda d, i: keys.entity_delivery_key(d, i.cast("int")))
 cases("channel_materials_ids", [("chan", "7", "tg:chan:7"), ("-100", "0", "tg:-100:0"), (None, "7", None)], keys.channel_material_id)
-cases("article_bound_to_page", [(json.dumps([{"@id": "https://e.com/a", "articleBody": "x"}, {"url": "/a/", "articleBody": "longer"}]), "longer"), (json.dumps([{"url": "https://other.com/", "articleBody": "no"}]), None), (json.dumps([{"articleBody": "only"}]), "only"), (json.dumps([{"articleBody": "1"}, {"articleBody": "2"}]), None), ("[]", None)], lambda d: by_batch("string")(lambda t: (pages.bound_article(json.loads(t), "https://e.com/a") or {}).get("articleBody"))(d))

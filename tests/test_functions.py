@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from obsidra.functions import documents, keys, pages, semver, text, times, urls
+from obsidra.functions import documents, elements, keys, pages, semver, text, times, urls
 from obsidra.operators import dedup, handlers, joins, packages, paging, predicates, reports, routing, sampling, series, warehouse
 from obsidra.sources import discovery
 
@@ -189,17 +189,45 @@ def test_pages(spark):
     p = F.lit(PAGE)
     assert one(spark, pages.title(p)) == "A page" and one(spark, pages.base_href(p)) == "https://e.com/x/" and one(spark, pages.declared_canonical(p)) == "https://e.com/c"
     assert one(spark, pages.html_meta(p))["published"] == "2024-01-01"
-    assert pages.absolute_links(PAGE, "https://e.com/") == ["https://e.com/y?a=1&b=2", "https://e.com/n2"]
-    assert list(pages.link_rows(PAGE, "pagination_rel")) == ["/n2"] and list(pages.link_rows(PAGE, "canonical")) == ["https://e.com/c"]
     df = spark.createDataFrame([("https://e.com/n", PAGE)], "url string, html string")
+    assert pages.page_links(df).first()["links"] == ["https://e.com/y?a=1&b=2", "https://e.com/n2"]
+    assert pages.page_links(df, hosts=["com"]).first()["links"] and pages.page_links(df, hosts=["other.com"]).first()["links"] == []
+    links = lambda *sources: [r["href"] for r in pages.link_rows(df, sources=sources).collect()]
+    assert links("pagination_rel") == ["/n2"] and links("canonical") == ["https://e.com/c"] and links("canonical", "a_href") == ["https://e.com/c", "/y?a=1&b=2#z", "mailto:x", "/n2"]
     assert [tuple(r) for r in pages.ld_products(df).collect()] == [("https://e.com/n", "P", "1", "5", "UAH", "InStock")]
-    assert pages.ld_articles(df).first()["author"] == "N"
-    assert one(spark, pages.breadcrumb(p)) == ["A", "B"] and one(spark, pages.attributes_table(p)) == {"Color": "red"}
-    assert len(one(spark, pages.lean_html(p, 300)).encode()) <= 300 and len(one(spark, pages.html_digest(p, 400))) <= 400
+    article = pages.page_articles(df).first()
+    assert (article["author"], article["title"], article["published"], article["problem"]) == ("N", "H", "2024-01-01", "no article")
+    t = df.select("html", elements.page_tree(F.col("html")).alias("t"))
+    of = lambda c: t.select(c).first()[0]
+    assert of(pages.breadcrumb(F.col("t"))) == ["A", "B"] and of(pages.attributes_table(F.col("t"))) == {"Color": "red"}
+    assert len(one(spark, pages.lean_html(p, 300)).encode()) <= 300 and len(of(pages.html_digest(F.col("html"), F.col("t"), 400))) <= 400
     assert one(spark, discovery.feed_autodiscovery(p)) == ["/feed"]
     assert one(spark, pages.charset_of(F.lit("text/html; charset=KOI8-U"), F.lit(bytearray(b"")))) == "koi8-u"
 
 
+def test_hidden_links_and_empty_pages(spark):
+    rows = [("https://e.com/a/", "<base href='b/'><svg><a href=/no></a></svg><a href='x#1'>1</a><a href='x#2'>2</a><a href='ftp://e.com/'>3</a><a href='//sub.E.com/y'>4</a><a href='http://['>5</a>"), (None, None), ("u", "")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert [r["links"] for r in pages.page_links(df).collect()] == [["https://e.com/a/b/x", "https://sub.E.com/y"], None, []]
+    assert pages.page_links(df, hosts=["sub.e.com"]).first()["links"] == ["https://sub.E.com/y"]
+    assert pages.link_rows(df).count() == 6 and pages.page_articles(df.limit(0)).count() == 0
+    assert [r["problem"] for r in pages.page_articles(df).collect()] == ["no article"] * 3
+
+
+def test_articles_bound_to_their_page(spark):
+    def found(*nodes, url="https://e.com/a"):
+        html = '<script type="application/ld+json">' + json.dumps([{"@type": "Article", **n} for n in nodes]) + "</script>"
+        return pages.page_articles(spark.createDataFrame([(url, html)], "url string, html string")).first()["body"]
+
+    assert found({"@id": "https://e.com/a", "articleBody": "x"}, {"url": "/a/", "articleBody": "longer"}) == "longer"
+    assert found({"@id": "https://e.com/a", "articleBody": "one"}, {"url": "/a", "articleBody": "two"}) == "one"
+    assert found({"url": "https://other.com/", "articleBody": "no"}) is None
+    assert found({"articleBody": "only"}) == "only" and found({"articleBody": "1"}, {"articleBody": "2"}) is None
+    assert found({"mainEntityOfPage": {"url": "https://E.com/a?b=1&a=2"}, "articleBody": "q"}, url="https://e.com/a?a=2&b=1") == "q"
+    nested = '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","mainEntity":{"@type":["NewsArticle"],"@id":"/a","articleBody":"deep"}}]}</script>'
+    assert pages.page_articles(spark.createDataFrame([("https://e.com/a", nested)], "url string, html string")).first()["body"] == "deep"
+
+
 def test_sources(spark, tmp_path):
     urlset = b'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://e.com/1</loc><lastmod>2024</lastmod></url><url><loc>https://e.com/2</loc></url></urlset>'
     got = one(spark, discovery.sitemap_entries(F.lit(bytearray(urlset)), 1))

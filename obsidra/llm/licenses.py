@@ -133,19 +133,13 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower, SEPARATORS, " "))
 
 
-def _starts(core: Column, phrase: str) -> Column:
-    """Word numbers at which ``phrase`` stands, in order."""
+def _starts(core: Column, words: Column, phrase: str) -> Column:
+    """Word numbers at which ``phrase`` stands, in order: one pass over the words of a text that holds it."""
+    parts = phrase.split()
+    wanted = F.array(*[F.lit(w) for w in parts])
+    first = F.filter(F.transform(words, lambda w, i: F.when(w == parts[0], i)), lambda i: i.isNotNull())
+    found = F.transform(F.filter(first, lambda i: F.slice(words, i + 1, F.lit(len(parts))) == wanted), lambda i: i.cast("long"))
     padded = F.concat(F.lit(" "), core, F.lit(" "))
-    # the text between places: its spaces count the words; a place takes the space before it only
-    parts = F.split(padded, f" {phrase}(?= )")
-    width = len(phrase.split())
-    spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
-    ends = F.aggregate(
-        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.expr("array(cast(0 as bigint))"),
-        lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + spaces(part) + F.lit(width).cast("long"))),
-    )
-    found = F.transform(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), lambda e: e - F.lit(width).cast("long"))
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), found).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
@@ -203,7 +197,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             f" size(filter({listed}[x.t].words, (w, j) -> x.o + j >= 0 and x.o + j < size(__words) and __words[x.o + j] = w)) / cast(size({listed}[x.t].words) as double), 0D) as share)), x -> x.share >= {min_share}))"
         ),
     )
-    base = verified.withColumns({f"__b{i}": _starts(F.col("__core"), phrase) for i, phrase in enumerate(BASE)})
+    base = verified.withColumns({f"__b{i}": _starts(F.col("__core"), F.col("__words"), phrase) for i, phrase in enumerate(BASE)})
     places = F.concat(*[F.col(f"__b{i}") for i in range(len(BASE))])
     base_labels = F.filter(F.array(*[F.when(F.size(f"__b{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
     return base.withColumn("__base", places).withColumn("__labels", base_labels).select(

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -624,3 +625,14 @@ def test_pipeline_stages(spark):
         assert docs.select("doc_id").distinct().join(before.select("doc_id"), "doc_id", "left_anti").isEmpty(), name
     last = p.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.where("not round_trip").isEmpty()
+
+
+def test_license_scan_of_a_text_with_very_many_places(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "cc by nc filler " * n), (2, "cc by " * n + "nc")], "doc_id long, text string")
+    docs.count()
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert time.perf_counter() - began < 40  # a quadratic scan takes minutes
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (4 * n, n, 0, 4 * (n - 1))
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (1, 2 * (n - 1), 2 * (n - 1), "cc-by-nc")

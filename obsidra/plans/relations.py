@@ -573,8 +573,8 @@ def store_restart(spark, sf):
     path = _store_dir(spark, "entities")
     r = _store_records(spark, sf)
     for n in range(3):
-        stores.EntityStore(spark, path).commit(r.where(F.col("arrival") % 3 == n))
-    again = stores.EntityStore(spark, path)
+        stores.EntityStore(spark, path, cuts=8).commit(r.where(F.col("arrival") % 3 == n))
+    again = stores.EntityStore(spark, path, cuts=8)
     counts = again.records().groupBy("entity").agg(F.count(F.lit(1)).alias("version"))
     return again.state().select("entity", "value").join(counts, "entity")
 
@@ -583,7 +583,7 @@ def store_restart(spark, sf):
 def store_objects(spark, sf):
     """Objects of two batches: the first of a key stays."""
     d = table(spark, sf, "documents").select(F.concat(F.lit("k"), (F.col("doc_id") % 50).cast("string")).alias("object_key"), F.lit("").alias("object_id"), F.col("source").alias("source_id"), F.lit("m").alias("material_id"), F.timestamp_seconds("doc_id").alias("stored_at"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(None).cast("binary").alias("content"), "doc_id")
-    store = stores.ObjectStore(spark, _store_dir(spark, "objects"))
+    store = stores.ObjectStore(spark, _store_dir(spark, "objects"), cuts=8)
     store.put(d.where("doc_id < 60").drop("doc_id"))
     store.put(d.where("doc_id >= 60").drop("doc_id"))
     return store.list(limit=1000).select("object_key", "sha256", F.lit(False).alias("conflict"))

@@ -25,21 +25,23 @@ CUTS = 64
 
 @dataclass
 class Manifest:
-    """Runs by table and cut, each (name, level), and the tables' schemas."""
+    """Runs by table and cut, each (name, level), the tables' schemas, and facts."""
 
     number: int = 0
     cuts: int = CUTS
     runs: dict[str, dict[int, list[tuple[str, int]]]] = field(default_factory=dict)
     schemas: dict[str, dict[str, Any]] = field(default_factory=dict)
+    #: what a store notes beside its tables, seen together with them
+    facts: dict[str, Any] = field(default_factory=dict)
 
     def text(self) -> str:
-        return json.dumps({"cuts": self.cuts, "runs": self.runs, "schemas": self.schemas}, separators=(",", ":"))
+        return json.dumps({"cuts": self.cuts, "runs": self.runs, "schemas": self.schemas, "facts": self.facts}, separators=(",", ":"))
 
     @classmethod
     def read(cls, number: int, text: str) -> Manifest:
         d = json.loads(text)
         runs = {t: {int(c): [(n, level) for n, level in listed] for c, listed in cuts.items()} for t, cuts in d["runs"].items()}
-        return cls(number, d["cuts"], runs, d["schemas"])
+        return cls(number, d["cuts"], runs, d["schemas"], d.get("facts", {}))
 
     def named(self) -> set[tuple[str, str]]:
         return {(t, name) for t, cuts in self.runs.items() for listed in cuts.values() for name, _ in listed}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def first_rows(rows: DataFrame, key: Sequence[str], arrival: str) -> DataFrame:
     """The first row of each key; a partial aggregate, so a hot key is one row per task."""
@@ -113,6 +115,8 @@ def event_key(day: Column, kind: Column, anchor: Column) -> Column:
 
 def bounded_intake(rows: DataFrame, known: DataFrame, key: str, order: list[Column], room: int) -> tuple[DataFrame, DataFrame]:
     """(queued, spilled): unknown rows in order up to ``room``, and the rest."""
-    fresh = rows.join(known.select(key), key, "left_anti")
-    queued = fresh.orderBy(*order).limit(room)
-    return queued, fresh.join(queued.select(key), key, "left_anti")
+    fresh = rows.join(known.select(key), key, "left_anti").withColumn("__row", F.monotonically_increasing_id())
+    # written once: both parts must see the same rows under the same numbers, ties and rows without a key too
+    fresh = checkpointed(fresh)
+    queued = fresh.orderBy(*order, "__row").limit(room)
+    return queued.drop("__row"), fresh.join(queued.select("__row"), "__row", "left_anti").drop("__row")

@@ -409,3 +409,62 @@ def elements_counted(spark, sf):
     p = table(spark, sf, "pages").select("page_id", page_tree(F.regexp_replace("html", "\n", " ")).alias("tree"))
     ad = F.get(selectors.values(F.col("tree"), selectors.xpath("//div[@class='ad']/text()")), F.lit(0))
     return p.select("page_id", F.size(selectors.places(F.col("tree"), selectors.css("article p"))).cast("long").alias("paragraphs"), F.coalesce(ad, F.lit("")).alias("ad"))
+
+
+# ------------------------------------------------------------------ schemas and analyses
+
+#: What an event's document must be; the identifier is a definition.
+EVENT_SCHEMA = {
+    "type": "object",
+    "required": ["k", "kind", "at"],
+    "properties": {
+        "k": {"type": "integer", "minimum": 5, "not": {"multipleOf": 7}},
+        "kind": {"enum": ["click", "view", "purchase"]},
+        "at": {"type": "object", "properties": {"user": {"$ref": "#/$defs/user"}}, "additionalProperties": False},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "pattern": "^[a-z]+$"}},
+    },
+    "additionalProperties": False,
+    "$defs": {"user": {"oneOf": [{"type": "integer", "exclusiveMaximum": 40}, {"type": "null"}]}},
+}
+
+
+@query("WITH e AS (SELECT event_id, user_id, event_type, value, CAST(props->>'$.k' AS INT) AS k FROM events)"
+       " SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN event_id % 11 = 0 THEN ':additionalProperties' END, CASE WHEN user_id % 9 = 0 THEN ':required' END, CASE WHEN k < 5 THEN '/k:minimum' END, CASE WHEN k % 7 = 0 THEN '/k:not' END,"
+       " CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN '/kind:enum' END, CASE WHEN user_id % 9 != 0 AND user_id >= 40 THEN '/at/user:oneOf' END, CASE WHEN value > 20 THEN '/tags:maxItems' END, CASE WHEN value > 20 THEN '/tags/2:pattern' END], lambda x: x IS NOT NULL)), ' ') AS problems FROM e")
+def documents_by_schema(spark, sf):
+    """Events' documents with a nested member, a list and now and then a member too many, checked by a schema."""
+    from ..functions.schemas import schema_problems
+
+    tags = F.when(F.col("value") > 20, F.array(F.lit("a"), F.lit("b"), F.lit("C3"))).otherwise(F.array(F.lit("a")))
+    at = F.when(F.col("user_id") % 9 != 0, F.struct(F.col("user_id").alias("user")))
+    extra = F.when(F.col("event_id") % 11 == 0, F.lit("x"))
+    made = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("kind"), at.alias("at"), tags.alias("tags"), extra.alias("extra")))
+    e = table(spark, sf, "events").select("event_id", F.try_parse_json(made).alias("d"))
+    problems = F.transform(schema_problems(F.col("d"), EVENT_SCHEMA), lambda p: F.concat(p["pointer"], F.lit(":"), p["keyword"]))
+    return e.select("event_id", F.array_join(F.array_sort(problems), " ").alias("problems"))
+
+
+@query("WITH p AS (SELECT doc_id, text, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*') AS lead, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*((?:[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+){7}[\p{L}\p{M}\p{N}]+)', 1) AS quote FROM documents)"
+       " SELECT doc_id, CASE WHEN quote != '' THEN length(lead) END AS start, CASE WHEN quote != '' THEN length(lead) + length(quote) END AS \"end\", CAST(NULL AS INTEGER) AS absent FROM p")
+def quotes_aligned(spark, sf):
+    """The first eight words of each text, quoted in small letters with other spaces and signs, found again in it."""
+    from ..operators.news import aligned
+
+    quote = F.regexp_extract("text", r"^[^\p{L}\p{M}\p{N}]*((?:[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+){7}[\p{L}\p{M}\p{N}]+)", 1)
+    said = F.concat(F.lit(" «"), F.regexp_replace(F.lower(quote), r"[^\p{L}\p{M}\p{N}]+", " - "), F.lit("»"))
+    answer = F.struct(F.array(F.struct(said.alias("quote")), F.struct(F.concat(quote, F.lit(" zq9zq")).alias("quote"))).alias("evidence"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.try_parse_json(F.to_json(answer)).alias("answer"))
+    return aligned(d).select("doc_id", F.get("quotes", F.lit(0))["start"].cast("long").alias("start"), F.get("quotes", F.lit(0))["end"].cast("long").alias("end"), F.get("quotes", F.lit(1))["start"].alias("absent"))
+
+
+@query("SELECT event_id, day, articles FROM (SELECT sha256('{\"action\":\"sold\",\"place\":\"' || lower(p_brand) || '\",\"actor\":\"' || lower(p_type) || '\",\"date\":\"2024-03-05\"}') AS h, count(*) AS articles FROM part WHERE p_size % 5 != 0 AND p_size % 7 != 0 GROUP BY 1) t, (SELECT DATE '2024-03-05' AS day), LATERAL (SELECT 'ev_' || h[1:32] AS event_id)")
+def events_of_articles(spark, sf):
+    """Articles on parts whose analysis names an event; some quote nothing that stands there, some aren't sure."""
+    from ..operators.news import event_rows, normalised
+
+    text = F.concat(F.lit("On 5 March the "), "p_name", F.lit(" was sold in "), "p_brand", F.lit("."))
+    quote = F.when(F.col("p_size") % 5 == 0, F.lit("on 5 march nothing was sold")).otherwise(F.concat(F.lit("on 5 March — the "), F.upper("p_name")))
+    canonical = F.struct(F.lit("Sold").alias("action"), F.col("p_brand").alias("place"), F.col("p_type").alias("actor"), F.lit("2024-03-05").alias("date"))
+    event = F.struct(canonical.alias("canonical"), F.col("p_name").alias("summary"), F.when(F.col("p_size") % 7 == 0, 0.5).otherwise(0.95).alias("identity_confidence"), F.array(F.struct(quote.alias("quote"))).alias("evidence"))
+    a = table(spark, sf, "part").select(text.alias("text"), F.try_parse_json(F.to_json(F.struct(event.alias("event")))).alias("answer"), F.lit("2024-03-07").cast("date").alias("published"))
+    return event_rows(normalised(a)).select("event_id", "day", "articles")

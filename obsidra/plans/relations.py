@@ -255,12 +255,12 @@ def model_answer_rows(spark, sf):
     return warehouse.analysis_rows(table(spark, sf, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), data.alias("data"))).select("url", "position", "name", "kind")
 
 
-@query("WITH m AS (SELECT doc_id, source AS name, CASE WHEN doc_id % 2 = 0 THEN lang END AS kind FROM documents) SELECT doc_id, dense_rank() OVER (ORDER BY name, kind NULLS FIRST) AS rank FROM m")
+@query("WITH m AS (SELECT doc_id, source AS name, CASE WHEN doc_id % 2 = 0 THEN lang END AS kind FROM documents) SELECT doc_id, count(*) OVER (PARTITION BY name, kind) AS mentions FROM m")
 def named_entity_ids(spark, sf):
+    """Mentions of each document's named entity, counted by id."""
     m = table(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("kind"))
-    e = warehouse.named_entities(m)
-    ranked = e.join(e.select(F.col("entity_id").alias("o"), F.struct(F.col("name"), F.coalesce("kind", F.lit(""))).alias("k")), F.struct(e["name"], F.coalesce(e["kind"], F.lit(""))) >= F.col("k")).groupBy("name", "kind", "entity_id").agg(F.count_distinct("o").alias("rank"))
-    return warehouse.with_entity_ids(m, ranked).select("doc_id", "rank")
+    found = warehouse.with_entity_ids(m, warehouse.named_entities(m))
+    return found.join(found.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions")), "entity_id").select("doc_id", "mentions")
 
 
 @query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000")

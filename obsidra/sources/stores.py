@@ -127,9 +127,13 @@ class EntityStore(RunTables):
             raise ValueError("the store holds no records")
         return found
 
-    def commit(self, batch: DataFrame) -> DataFrame:
-        """Adds new deliveries of a batch and returns the field state after it; a known delivery changes nothing."""
+    def commit(self, batch: DataFrame, facts: dict[str, Any] | None = None) -> DataFrame:
+        """Adds new deliveries of a batch and returns the field state after it; a known delivery changes nothing.
+
+        ``facts`` are noted with the commit: they are seen if and only if the batch is.
+        """
         manifest = self.manifest()
+        manifest.facts.update(facts or {})
         fresh = first_deliveries(batch)
         keys = batch.where("delivery_key IS NOT NULL").select("delivery_key").distinct()
         if manifest.runs.get("deliveries"):

@@ -194,3 +194,26 @@ def test_objects_by_key(spark, tmp_path):
     assert {r["object_key"] for r in conflicts.collect()} == {r["object_key"] for r in made("a").where("object_key < 'k15'").collect()}
     assert store.table().count() == 20 and store.get("k19").first()["sha256"] == "b19" and len({f.split("cut=")[1][0] for f in store.get("k19").inputFiles()}) == 1
     assert store.put(made("b").where("object_key = 'k19'")).count() == 0 and store.generation == 4
+
+
+def test_migration_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from obsidra.sources import migration
+    from obsidra.sources.stores import EntityStore
+
+    source = EntityStore(spark, str(tmp_path / "source"), cuts=4)
+    for n in range(2):
+        source.commit(store_batch(spark, *[(f"e{k}", str(n), 10 - n if k % 2 else 10 + n, f"d{k}-{n}") for k in range(12)], *([("e0", "none", 20, None)] if n else [])))
+    target = EntityStore(spark, str(tmp_path / "target"), cuts=2)
+    assert len(list(migration.migrate(source, target, 1, most_steps=2))) == 2
+    with monkeypatch.context() as m:
+        m.setattr(EntityStore, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            list(migration.migrate(source, EntityStore(spark, target.path), 1))
+    assert migration.verified(source, target).count() > 0
+    steps = list(migration.migrate(source, EntityStore(spark, target.path), 1))
+    assert sum(map(len, steps)) == 2 and migration.verified(source, target).count() == 0 and target.records().count() == 25
+    assert list(migration.migrate(source, target)) == []
+    other = EntityStore(spark, str(tmp_path / "other"), cuts=2)
+    other.commit(store_batch(spark, ("e1", "x", 5, "own")))
+    with pytest.raises(migration.VersionConflict):
+        list(migration.migrate(source, other))

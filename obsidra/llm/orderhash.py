@@ -62,7 +62,7 @@ def order_sketches(h: np.ndarray, first: np.ndarray, shingle: int = SHINGLE, tup
     full = counts[owner] >= shingle
     base[full] = rolling(h, shingle, 0x9E6D62D06F6A9A9B)[at[full]]
     for i in has[counts[has] < shingle]:
-        base[np.searchsorted(owner, i)] = mixed(np.bitwise_xor.reduce(mixed(h[first[i] : first[i + 1]] + np.arange(counts[i], dtype=np.uint64))))
+        base[np.searchsorted(owner, i)] = mixed(np.bitwise_xor.reduce(mixed(h[first[i] : first[i + 1]] + np.arange(counts[i], dtype=np.uint64))))[0]
     # occurrence labels: rank among equal shingles of the text, in order of the text
     order = np.lexsort((base, owner))
     again = np.zeros(len(order), bool)
@@ -98,7 +98,7 @@ def order_sketches(h: np.ndarray, first: np.ndarray, shingle: int = SHINGLE, tup
 
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     ends = np.cumsum(length)
-    return np.arange(int(ends[-1])) + np.repeat(begin - (ends - length), length)
+    return np.arange(int(length.sum())) + np.repeat(begin - (ends - length), length)
 
 
 def within(a: list, b: list, most: int) -> bool:
@@ -204,6 +204,37 @@ def least_distances(bag: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(step, 0).sum(axis=1), np.maximum(-step, 0).sum(axis=1))
 
 
+class SharedWords:
+    """How many words texts share, as multisets: no two texts with fewer than that can be within a distance.
+
+    ``h``: word hashes of consecutive texts, ``first``: each text's first word. Equal hashes of different words only raise a number.
+    """
+
+    def __init__(self, h: np.ndarray, first: np.ndarray) -> None:
+        self.first, self.length = first, np.diff(first)
+        owner = np.repeat(np.arange(len(self.length)), self.length)
+        order = np.lexsort((h, owner))
+        h = h[order]
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+        place = np.arange(len(h))
+        nth = place - np.maximum.accumulate(np.where(again, 0, place))
+        self.number = np.unique(mixed(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+        by = np.argsort(self.number, kind="stable")
+        self.holders = owner[by]
+        self.begin = np.searchsorted(self.number[by], np.arange(int(self.number.max(initial=-1)) + 2))
+
+    def of(self, i: int) -> np.ndarray:
+        """Words that text ``i`` shares with each text."""
+        own = self.number[self.first[i] : self.first[i + 1]]
+        return np.bincount(self.holders[_ranges(self.begin[own], self.begin[own + 1] - self.begin[own])], minlength=len(self.length))
+
+    def near(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of ``others`` that the words shared with text ``i`` don't rule out."""
+        longer = np.maximum(self.length[i], self.length[others])
+        return others[longer - self.of(i)[others] <= ((1 - similarity) * longer + 1e-9).astype(np.int64)]
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, words, sketches, bag) of every row; mark: 128-bit digest of the words' bytes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -330,11 +361,14 @@ def _compared(docs: DataFrame, undecided: DataFrame, id_col: str, text_col: str,
             return c
 
         good = []
+        shared = SharedWords(*word_hashes(data, offsets))
         for r in rows.values():
             mine = None
-            for place in np.frombuffer(partners[r], np.int32).tolist():
-                p = rows.get(place)
-                if p is None or (a := top(component[r])) == (b := top(component[p])):
+            met = [p for place in np.frombuffer(partners[r], np.int32).tolist() if (p := rows.get(place)) is not None]
+            if not met:
+                continue
+            for p in shared.near(r, np.array(met), similarity).tolist():
+                if (a := top(component[r])) == (b := top(component[p])):
                     continue
                 mine = mine or words(r)
                 if similar(mine, words(p), similarity):

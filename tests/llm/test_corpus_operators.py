@@ -636,3 +636,27 @@ def test_license_scan_of_a_text_with_very_many_places(spark):
     assert time.perf_counter() - began < 40  # a quadratic scan takes minutes
     assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (4 * n, n, 0, 4 * (n - 1))
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (1, 2 * (n - 1), 2 * (n - 1), "cc-by-nc")
+
+
+def test_shared_words_bound_the_distance():
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(0, 30))] for _ in range(60)]
+    raw = [" ".join(t).encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    shared = orderhash.SharedWords(*word_hashes(data, offsets))
+    for i, t in enumerate(texts):
+        assert shared.of(i).tolist() == [sum((Counter(t) & Counter(o)).values()) for o in texts]
+        near = set(shared.near(i, np.arange(len(texts)), 0.8).tolist())
+        assert near >= {j for j, o in enumerate(texts) if orderhash.similar(t, o)}
+
+
+def test_a_wide_bucket_of_unlike_texts(spark):
+    """Texts that share a long line and nothing else meet in its buckets; none is like another but for the copies planted."""
+    rng = random.Random(6)
+    line = [f"line{i}" for i in range(60)]
+    rows = [(i, " ".join(line + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(1500)]
+    rows += [(5000 + i, rows[i * 100][1].replace("line7", "other", 1)) for i in range(10)]
+    began = time.perf_counter()
+    got = orderhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 120
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i if i < 5000 else (i - 5000) * 100 for i, _ in rows}

@@ -474,9 +474,14 @@ def coverage_confidence(spark, sf):
     return sampling.confidence(d, ["source"], 3, F.lit(20), 0.9, 3).select("source", F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT i AS id, chr(CAST(97 + i // 6 AS INTEGER)) AS a, CAST(i // 2 % 3 + 1 AS VARCHAR) AS b, CASE WHEN i % 2 = 0 THEN 'x y' ELSE 'z' END AS c, 'https://e.com/' || chr(CAST(97 + i // 6 AS INTEGER)) || '/' || (i // 2 % 3 + 1) || '?q=' || CASE WHEN i % 2 = 0 THEN 'x%20y' ELSE 'z' END AS url FROM range(0, 18) t(i)")
+@query("SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY n, q) - 1 AS INTEGER) AS template_id, 'https://e.com/' || lower(s_name[1:8]) || '/' || n || '?q=' || CASE q WHEN 0 THEN 'x%20y' ELSE CAST(s_nationkey AS VARCHAR) END AS url"
+       " FROM (SELECT *, unnest(range(1, s_suppkey % 3 + 1)) AS n FROM supplier), (SELECT unnest([0, 1]) AS q)")
 def url_template_expand(spark, sf):
-    return discovery.template_urls(spark, "https://e.com/{a}/{b}?q={c}", {"a": ["a", "b", "c"], "b": [1, 2, 3], "c": ["x y", "z"]})
+    """Pages of each supplier by a template: up to two page numbers, two searches."""
+    s = table(spark, sf, "supplier")
+    pages_ = F.when(F.col("s_suppkey") % 3 > 0, F.sequence(F.lit(1), (F.col("s_suppkey") % 3).cast("int")))
+    values = {"who": F.array(F.lower(F.substring("s_name", 1, 8))), "page": pages_, "q": F.array(F.lit("x y"), F.col("s_nationkey").cast("string"))}
+    return discovery.template_rows(s, "https://e.com/{who}/{page}?q={q}", values).select("s_suppkey", "template_id", "url")
 
 
 # ------------------------------------------------------------------ content, URLs, pages

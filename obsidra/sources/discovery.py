@@ -6,6 +6,7 @@ import itertools
 import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from math import prod
 from typing import Any
 
@@ -39,6 +40,22 @@ def template_urls(spark: SparkSession, template: str, values: Mapping[str, Seque
     return rows.withColumns(columns).select("id", *values, expand_template(template, {n: F.col(n) for n in values}).alias("url"))
 
 
+def template_rows(rows: DataFrame, template: str, values: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with ``template_id`` and ``url``: the product of each row's own values (arrays), the last variable fastest.
+
+    A row with an empty or null array gives none. Numbers are decoded into values, so nothing is joined.
+    """
+    arrays = {n: F.coalesce(F.transform(c, lambda v: v.cast("string")), F.array().cast("array<string>")) for n, c in values.items()}
+    held = rows.withColumns({f"__{n}": c for n, c in arrays.items()})
+    total = reduce(lambda x, y: x * y, [F.size(f"__{n}") for n in arrays])
+    numbered = held.withColumn("__total", total).where("__total > 0").withColumn("template_id", F.explode(F.sequence(F.lit(0), F.col("__total") - 1)))
+    below, chosen = F.col("__total"), {}
+    for n in arrays:
+        below = F.floor(below / F.size(f"__{n}"))
+        chosen[n] = F.get(F.col(f"__{n}"), (F.floor(F.col("template_id") / below) % F.size(f"__{n}")).cast("int"))
+    return numbered.withColumn("url", expand_template(template, chosen)).select(*rows.columns, "template_id", "url")
+
+
 def template_count(values: Mapping[str, Sequence[Any]]) -> int:
     """How many URLs a template gives."""
     return prod(len(v) for v in values.values())

@@ -419,20 +419,24 @@ def crawled(spark, sf):
     return discovery.crawl(spark.createDataFrame([("https://e.com/1",)], "url string"), links, 3).select("url", "depth")
 
 
-@query("SELECT 'https://e.com/d' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END AS lastmod FROM documents WHERE doc_id < 1000000")
+@query("SELECT 'https://e.com/d' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END AS lastmod FROM documents")
 def sitemaps_walked(spark, sf):
-    """An index of sixteen sitemaps that hold a document's URL each; the index names itself too."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 16).alias("m"), F.concat(F.lit("<url><loc>https://e.com/d"), F.col("doc_id").cast("string"), F.lit("</loc>"), F.when(F.col("doc_id") % 2 == 0, F.lit("<lastmod>2024-01-01</lastmod>")).otherwise(""), F.lit("</url>")).alias("x"))
-    maps = d.groupBy("m").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("x"), ""), F.lit("</urlset>")).cast("binary").alias("body")).select(F.concat(F.lit("https://e.com/s"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), "body")
-    index = maps.agg(F.concat(F.lit("<sitemapindex><sitemap><loc>https://e.com/i.xml</loc></sitemap>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).cast("binary").alias("body")).select(F.lit("https://e.com/i.xml").alias("url"), "body")
-    return materials.sitemap_walk(index.unionByName(maps), spark.createDataFrame([("https://e.com/i.xml",)], "url string"))
-
-
-@query("SELECT 'https://e.com/f' || (doc_id % 8) AS feed, 'https://e.com/d' || doc_id AS url FROM documents")
+    """Sitemaps of 500 documents' URLs each, under indexes of 1000 sitemaps each, which name themselves too."""
+    entry = F.concat(F.lit("<url><loc>https://e.com/d"), F.col("doc_id").cast("string"), F.lit("</loc>"), F.when(F.col("doc_id") % 2 == 0, F.lit("<lastmod>2024-01-01</lastmod>")).otherwise(""), F.lit("</url>"))
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 500).alias("m"), entry.alias("x"))
+    named = lambda kind, n: F.concat(F.lit(f"https://e.com/{kind}"), n.cast("string"), F.lit(".xml"))
+    maps = d.groupBy("m").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("x"), ""), F.lit("</urlset>")).cast("binary").alias("body"))
+    listed = F.array_join(F.transform(F.collect_list(named("s", F.col("m"))), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), "")
+    own = F.concat(F.lit("<sitemapindex><sitemap><loc>"), named("i", F.col("i")), F.lit("</loc></sitemap>"))
+    index = maps.groupBy(F.floor(F.col("m") / 1000).alias("i")).agg(listed.alias("l")).select(named("i", F.col("i")).alias("url"), F.concat(own, "l", F.lit("</sitemapindex>")).cast("binary").alias("body"))
+    return materials.sitemap_walk(index.unionByName(maps.select(named("s", F.col("m")).alias("url"), "body")), index.select("url"))
+
+
+@query("SELECT 'https://e.com/f' || (doc_id // 500) AS feed, 'https://e.com/d' || doc_id AS url FROM documents")
 def feeds_followed(spark, sf):
-    """Seed pages that point to their feed."""
+    """Seed pages that point to their feed, of 500 documents each."""
     item = F.concat(F.lit("<item><link>https://e.com/d"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
-    d = table(spark, sf, "documents").groupBy((F.col("doc_id") % 8).alias("f")).agg(F.array_join(F.collect_list(item), "").alias("x"))
+    d = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("f")).agg(F.array_join(F.collect_list(item), "").alias("x"))
     feed = F.concat(F.lit("https://e.com/f"), F.col("f").cast("string"))
     feeds = d.select(feed.alias("url"), F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")).cast("binary").alias("body"))
     seed = F.concat(F.lit("https://e.com/p"), F.col("f").cast("string"))

@@ -444,8 +444,8 @@ def documents_by_schema(spark, sf):
     return e.select("event_id", F.array_join(F.array_sort(problems), " ").alias("problems"))
 
 
-@query("WITH p AS (SELECT doc_id, text, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*') AS lead, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*((?:[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+){7}[\p{L}\p{M}\p{N}]+)', 1) AS quote FROM documents)"
-       " SELECT doc_id, CASE WHEN quote != '' THEN length(lead) END AS start, CASE WHEN quote != '' THEN length(lead) + length(quote) END AS \"end\", CAST(NULL AS INTEGER) AS absent FROM p")
+@query(r"WITH p AS (SELECT doc_id, text, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*') AS lead, regexp_extract(text, '^[^\p{L}\p{M}\p{N}]*((?:[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+){7}[\p{L}\p{M}\p{N}]+)', 1) AS quote FROM documents)"
+       " SELECT doc_id, CASE WHEN quote != '' THEN length(lead) END AS start, CASE WHEN quote != '' THEN length(lead) + length(quote) END AS stop, CAST(NULL AS INTEGER) AS absent FROM p")
 def quotes_aligned(spark, sf):
     """The first eight words of each text, quoted in small letters with other spaces and signs, found again in it."""
     from ..operators.news import aligned
@@ -454,7 +454,7 @@ def quotes_aligned(spark, sf):
     said = F.concat(F.lit(" «"), F.regexp_replace(F.lower(quote), r"[^\p{L}\p{M}\p{N}]+", " - "), F.lit("»"))
     answer = F.struct(F.array(F.struct(said.alias("quote")), F.struct(F.concat(quote, F.lit(" zq9zq")).alias("quote"))).alias("evidence"))
     d = table(spark, sf, "documents").select("doc_id", "text", F.try_parse_json(F.to_json(answer)).alias("answer"))
-    return aligned(d).select("doc_id", F.get("quotes", F.lit(0))["start"].cast("long").alias("start"), F.get("quotes", F.lit(0))["end"].cast("long").alias("end"), F.get("quotes", F.lit(1))["start"].alias("absent"))
+    return aligned(d).select("doc_id", F.get("quotes", F.lit(0))["start"].cast("long").alias("start"), F.get("quotes", F.lit(0))["end"].cast("long").alias("stop"), F.get("quotes", F.lit(1))["start"].alias("absent"))
 
 
 @query("SELECT event_id, day, articles FROM (SELECT sha256('{\"action\":\"sold\",\"place\":\"' || lower(p_brand) || '\",\"actor\":\"' || lower(p_type) || '\",\"date\":\"2024-03-05\"}') AS h, count(*) AS articles FROM part WHERE p_size % 5 != 0 AND p_size % 7 != 0 GROUP BY 1) t, (SELECT DATE '2024-03-05' AS day), LATERAL (SELECT 'ev_' || h[1:32] AS event_id)")

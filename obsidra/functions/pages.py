@@ -239,8 +239,9 @@ def with_bound_article(rows: DataFrame, nodes: str, addresses: str, into: str) -
     return rows.withColumn(into, chosen).drop("__articles", "__names", "__refs", "__first", "__urls", "__named", "__own")
 
 
-def page_articles(pages: DataFrame, url: str = "url", page: str = "html", least: int = 0) -> DataFrame:
-    """``pages`` with their article: structured data first, then what the page itself shows.
+def page_articles(pages: DataFrame, url: str = "url", page: str = "html", least: int = 0, tree: Column | None = None) -> DataFrame:
+    """``pages`` with their article: structured data first, then what the page itself shows. ``tree``: the page's tree, if it isn't
+    that of its text as it stands.
 
     Added: title (JSON-LD, og:title, first h1 outside of other articles, title element), published, author, body (JSON-LD; the text of the first
     outermost article element or of its like by itemprop, with articles nested in it; of main), paywalled and problem
@@ -248,7 +249,7 @@ def page_articles(pages: DataFrame, url: str = "url", page: str = "html", least:
     elements are no part of a body; what an unclosed article holds goes to the end of its parent.
     """
     names = ("title", "published", "author", "body", "paywalled", "problem")
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in names], page_tree(F.col(page)).alias("__t"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in names], (page_tree(F.col(page)) if tree is None else tree).alias("__t"))
     t, html = F.col("__t"), F.col(page)
     rows = rows.withColumn("__canonical", apart(selectors.values(t, LINK_SOURCES["canonical"])))
     rows = rows.withColumn("__canonical", resolved(F.col("__canonical"), F.col(url))).withColumn("__canonical", F.get("__canonical", F.lit(0)))

@@ -1,5 +1,7 @@
 """Queries on rows that the smallest tables don't hold, against their SQL."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -24,3 +26,11 @@ def test_references_cut_short_in_articles(spark, tmp_path):
     rows = [{"page_id": i, "url": "https://e.com/", "html": page(h)} for i, h in enumerate(heads)] + [{"page_id": 9, "url": "https://e.com/", "html": "<title>k &amp;&amp</title><p>z"}]
     got = against_sql(spark, tmp_path, "articles_of_pages", pages=rows)
     assert {r["title"] for r in got} >= {"a &&amp", "k &amp;&amp"}
+
+
+def test_revisits_within_a_second_of_the_interval(spark, tmp_path):
+    edge = datetime(2024, 1, 19)
+    around = [timedelta(microseconds=n) for n in (-1, 0, 1, 500_000, 999_999, 1_000_000, 1_000_001)]
+    rows = [{"event_id": 11 + 70 * i, "ts": edge + d} for i, d in enumerate(around)]
+    got = against_sql(spark, tmp_path, "revisits_due", events=rows)
+    assert [r["again"] for r in sorted(got)] == [True] * 5 + [False] * 2

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import selectors
 from .elements import page_tree, single_spaced, subtree_text
 from .urls import host_of
+from .vectors import by_parts
 
 #: Blocks that hold no content for a reader.
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|svg|noscript|template)\b[^>]*>.*?</\1\s*>"
@@ -132,7 +133,7 @@ def resolved(references: Column, base: Column) -> Column:
         except (ValueError, AttributeError):
             return None
 
-    @F.arrow_udf("array<string>")
+    @by_parts("array<string>")
     def run(lists: pa.Array, bases: pa.Array) -> pa.Array:
         return pa.array([None if refs is None else [one(b or "", r) for r in refs] for refs, b in zip(lists.to_pylist(), bases.to_pylist())], pa.list_(pa.string()))
 

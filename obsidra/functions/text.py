@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import by_batch
+from .vectors import by_batch, by_values
 
 #: Latin letters for Cyrillic ones (Ukrainian and Russian).
 LATIN = {
@@ -83,17 +83,14 @@ def truncate(text: Column, most: int) -> Column:
 def decode_text(raw: Column, charset: Column) -> Column:
     """Bytes in their charset; unknown charsets and broken bytes fall back to UTF-8 with replacement."""
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series, charsets: pd.Series) -> pd.Series:
-        def one(body, name):
-            if body is None:
-                return None
-            try:
-                return bytes(body).decode(name or "utf-8")
-            except (UnicodeDecodeError, LookupError):
-                return bytes(body).decode("utf-8", "replace")
-
-        return pd.Series([one(b, c) for b, c in zip(values, charsets)])
+    @by_values("string")
+    def run(body: bytes | None, name: str | None) -> str | None:
+        if body is None:
+            return None
+        try:
+            return body.decode(name or "utf-8")
+        except (UnicodeDecodeError, LookupError):
+            return body.decode("utf-8", "replace")
 
     return run(raw, charset)
 

@@ -14,7 +14,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import by_batch
+from .vectors import by_batch, by_values
 
 DIFFERENCE = "array<struct<pointer:string,expected:string,actual:string>>"
 
@@ -302,12 +302,12 @@ def diff_files(before: Column, after: Column, name: str = "file") -> Column:
 def gunzipped(body: Column, most: int = 64 << 20) -> Column:
     """Unpacked bytes of a gzip body, other bodies as they are; null beyond ``most`` bytes or if broken."""
 
-    @by_batch("binary")
-    def run(raw):
-        if raw is None or bytes(raw[:2]) != b"\x1f\x8b":
+    @by_values("binary")
+    def run(raw: bytes | None) -> bytes | None:
+        if raw is None or raw[:2] != b"\x1f\x8b":
             return raw
         try:
-            out = zlib.decompressobj(wbits=31).decompress(bytes(raw), most + 1)
+            out = zlib.decompressobj(wbits=31).decompress(raw, most + 1)
         except zlib.error:
             return None
         return None if len(out) > most else out
@@ -332,7 +332,7 @@ def packed(text: str) -> bytes:
 
 def gzipped(body: Column) -> Column:
     """``body`` packed by :func:`packed`'s rule."""
-    return F.udf(lambda b: None if b is None else gzip.compress(bytes(b), mtime=0), "binary", useArrow=True)(body)
+    return by_values("binary")(lambda b: None if b is None else gzip.compress(b, mtime=0))(body)
 
 
 def validation_problems(document: Column, required: Mapping[str, str]) -> Column:

@@ -8,7 +8,7 @@ from ..functions import documents as docs_
 from ..functions import keys, pages, selectors, text, times, urls
 from ..functions.elements import page_tree
 from ..operators import predicates
-from ..session import table
+from ..session import spread, table
 from ..sources import discovery
 from .registry import query
 
@@ -22,13 +22,13 @@ def _sha(column):
 
 @query(r"SELECT page_id, CAST(i // 2 AS BIGINT) AS pos, l[i + 1] AS href FROM (SELECT page_id, l, unnest(range(0, len(l), 2)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\"', 1) AS l FROM pages))")
 def links_by_css(spark, sf):
-    rows = pages.link_rows(table(spark, sf, "pages").select("page_id", "html"), "nav > ul > li:nth-child(odd) > a[href^='/']")
+    rows = pages.link_rows(spread(table(spark, sf, "pages"), "page_id").select("page_id", "html"), "nav > ul > li:nth-child(odd) > a[href^='/']")
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
 @query(r"SELECT page_id, CAST(0 AS BIGINT) AS pos, l[-1] AS href FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\"', 1) AS l FROM pages) WHERE len(l) > 0")
 def links_by_xpath(spark, sf):
-    rows = pages.link_rows(table(spark, sf, "pages").select("page_id", "html"), "//nav//li[last()]/a/@href", "xpath")
+    rows = pages.link_rows(spread(table(spark, sf, "pages"), "page_id").select("page_id", "html"), "//nav//li[last()]/a/@href", "xpath")
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
@@ -37,7 +37,7 @@ _HEAD = "'<head><base href=\"' || url || '\"><link rel=\"stylesheet\" href=\"/s.
 
 
 def _with_head(spark, sf):
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"), "page_id")
     return p.withColumn("html", F.replace("html", F.lit("<head>"), F.expr(_HEAD.replace("''' || url || '''", "\\'' || url || '\\'"))))
 
 
@@ -52,7 +52,7 @@ def links_by_source(spark, sf):
 
 @query(r"SELECT target, count(*) AS in_degree FROM (SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]+') || h AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS h FROM pages)) GROUP BY 1")
 def page_link_graph(spark, sf):
-    p = pages.page_links(table(spark, sf, "pages").select("url", "html")).select(F.explode("links").alias("target"))
+    p = pages.page_links(spread(table(spark, sf, "pages"), "page_id").select("url", "html")).select(F.explode("links").alias("target"))
     return p.groupBy("target").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
@@ -77,14 +77,14 @@ def pages_leaned(spark, sf):
 
 @query(r"SELECT page_id, '[page] ' || trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))[1:600 - 8] AS first, true AS fits FROM pages")
 def page_digests(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "html", page_tree(F.col("html")).alias("tree"))
+    p = spread(table(spark, sf, "pages"), "page_id").select("page_id", "html", page_tree(F.col("html")).alias("tree"))
     digest = pages.html_digest(F.col("html"), F.col("tree"), 4000)
     return p.select("page_id", F.substring_index(digest, "\n", 1).alias("first"), ((F.length(digest) <= 4000) & digest.contains("\n[links] /") & digest.contains("\n[text] ")).alias("fits"))
 
 
 @query("SELECT page_id, CAST(i AS BIGINT) AS pos, hrefs[i + 1] AS href, texts[i + 1] AS text FROM (SELECT page_id, unnest(range(0, len(hrefs))) AS i, hrefs, texts FROM (SELECT page_id, regexp_extract_all(nav, 'href=\"([^\"]*)\"', 1) AS hrefs, regexp_extract_all(nav, '>([^<]*)</a>', 1) AS texts FROM (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages)))")
 def tiles_of_pages(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", page_tree(F.col("html")).alias("tree"))
+    p = spread(table(spark, sf, "pages"), "page_id").select("page_id", page_tree(F.col("html")).alias("tree"))
     return p.select("page_id", F.posexplode(pages.cards(F.col("tree"), "nav li")).alias("pos", "t")).select("page_id", F.col("pos").cast("long").alias("pos"), "t.href", "t.text")
 
 
@@ -102,14 +102,14 @@ def products_of_pages(spark, sf):
     offer = F.struct(F.col("p_size").cast("string").alias("price"), F.lit("EUR").alias("priceCurrency"), F.concat(F.lit("https://schema.org/"), F.col("p_brand")).alias("availability"))
     node = lambda offers: F.struct(F.struct(F.array(F.lit("Product"), F.lit("Thing")).alias("@type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("sku"), offers.alias("offers")).alias("@graph"))
     html = F.when(F.col("p_partkey") % 2 == 0, _page_of(node(offer))).otherwise(_page_of(node(F.array(offer))))
-    return pages.ld_products(table(spark, sf, "part").select(url.alias("url"), html.alias("html")))
+    return pages.ld_products(spread(table(spark, sf, "part"), "p_partkey").select(url.alias("url"), html.alias("html")))
 
 
 @query("SELECT p_partkey, p_type || '>' || p_brand || '>' || p_name AS path FROM part")
 def breadcrumbs_of_pages(spark, sf):
     step = lambda at, name: F.struct(F.lit(at).alias("position"), F.struct(F.col(name).alias("name")).alias("item"))
     node = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(step(3, "p_name"), step(1, "p_type"), step(2, "p_brand")).alias("itemListElement"))
-    p = table(spark, sf, "part").select("p_partkey", page_tree(_page_of(node)).alias("tree"))
+    p = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", page_tree(_page_of(node)).alias("tree"))
     return p.select("p_partkey", F.array_join(pages.breadcrumb(F.col("tree")), ">").alias("path"))
 
 
@@ -119,7 +119,7 @@ def items_of_pages(spark, sf):
     inner = F.struct(F.concat(F.lit("/n/"), F.col("p_partkey")).alias("@id"), F.col("p_name").alias("name"))
     other = F.struct(F.lit("ListItem").alias("@type"), F.lit(7).alias("position"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("name"), inner.alias("item"))
     node = F.struct(F.lit("ItemList").alias("@type"), F.array(plain, other).alias("itemListElement"))
-    p = table(spark, sf, "part").select("p_partkey", page_tree(_page_of(F.struct(node.alias("mainEntity")))).alias("tree"))
+    p = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", page_tree(_page_of(F.struct(node.alias("mainEntity")))).alias("tree"))
     return p.select("p_partkey", F.explode(pages.item_list(F.col("tree"))).alias("i")).select("p_partkey", "i.position", "i.url", "i.name")
 
 
@@ -129,7 +129,7 @@ def attributes_of_pages(spark, sf):
         F.lit("<table><tr><th>Brand:</th><td>"), "p_brand", F.lit("</td></tr><tr><td>only</td></tr><tr><td> Name <td><b>"), "p_name", F.lit("</b></table><dl><dt>Size<dd>"),
         F.col("p_size").cast("string"), F.lit("<dt>Brand<dd>other</dl>"),
     )
-    p = table(spark, sf, "part").select("p_partkey", page_tree(html).alias("t")).select("p_partkey", pages.attributes_table(F.col("t")).alias("a"))
+    p = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", page_tree(html).alias("t")).select("p_partkey", pages.attributes_table(F.col("t")).alias("a"))
     return p.select("p_partkey", F.col("a")["Brand"].alias("brand"), F.col("a")["Name"].alias("name"), F.col("a")["Size"].alias("size"), F.size("a").cast("long").alias("members"))
 
 
@@ -151,7 +151,7 @@ def articles_bound(spark, sf):
     html = F.lit(None).cast("string")
     for k, made in kinds.items():
         html = F.when(F.col("p_partkey") % 5 == k, made).otherwise(html)
-    found = pages.page_articles(table(spark, sf, "part").select("p_partkey", "p_name", url.alias("url"), html.alias("html")))
+    found = pages.page_articles(spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", "p_name", url.alias("url"), html.alias("html")))
     body = F.when(F.col("p_partkey") % 5 == 1, F.regexp_replace("body", F.concat(F.lit("^"), F.col("p_name"), F.lit(" ")), F.lit(""))).otherwise(F.col("body"))
     return found.select("p_partkey", body.alias("body"), "title", "problem")
 
@@ -406,7 +406,7 @@ class _Row:
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1) AS ad FROM (SELECT page_id, regexp_replace(html, '\n', ' ', 'g') AS html FROM pages)")
 def elements_counted(spark, sf):
     """Paragraphs of articles by tree, whatever stands open around them, and the text of an element by class."""
-    p = table(spark, sf, "pages").select("page_id", page_tree(F.regexp_replace("html", "\n", " ")).alias("tree"))
+    p = spread(table(spark, sf, "pages"), "page_id").select("page_id", page_tree(F.regexp_replace("html", "\n", " ")).alias("tree"))
     ad = F.get(selectors.values(F.col("tree"), selectors.xpath("//div[@class='ad']/text()")), F.lit(0))
     return p.select("page_id", F.size(selectors.places(F.col("tree"), selectors.css("article p"))).cast("long").alias("paragraphs"), F.coalesce(ad, F.lit("")).alias("ad"))
 
@@ -453,7 +453,7 @@ def quotes_aligned(spark, sf):
     quote = F.regexp_extract("text", r"^[^\p{L}\p{M}\p{N}]*((?:[\p{L}\p{M}\p{N}]+[^\p{L}\p{M}\p{N}]+){7}[\p{L}\p{M}\p{N}]+)", 1)
     said = F.concat(F.lit(" «"), F.regexp_replace(F.lower(quote), r"[^\p{L}\p{M}\p{N}]+", " - "), F.lit("»"))
     answer = F.struct(F.array(F.struct(said.alias("quote")), F.struct(F.concat(quote, F.lit(" zq9zq")).alias("quote"))).alias("evidence"))
-    d = table(spark, sf, "documents").select("doc_id", "text", F.try_parse_json(F.to_json(answer)).alias("answer"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", F.try_parse_json(F.to_json(answer)).alias("answer"))
     return aligned(d).select("doc_id", F.get("quotes", F.lit(0))["start"].cast("long").alias("start"), F.get("quotes", F.lit(0))["end"].cast("long").alias("stop"), F.get("quotes", F.lit(1))["start"].alias("absent"))
 
 
@@ -466,5 +466,5 @@ def events_of_articles(spark, sf):
     quote = F.when(F.col("p_size") % 5 == 0, F.lit("on 5 march nothing was sold")).otherwise(F.concat(F.lit("on 5 March — the "), F.upper("p_name")))
     canonical = F.struct(F.lit("Sold").alias("action"), F.col("p_brand").alias("place"), F.col("p_type").alias("actor"), F.lit("2024-03-05").alias("date"))
     event = F.struct(canonical.alias("canonical"), F.col("p_name").alias("summary"), F.when(F.col("p_size") % 7 == 0, 0.5).otherwise(0.95).alias("identity_confidence"), F.array(F.struct(quote.alias("quote"))).alias("evidence"))
-    a = table(spark, sf, "part").select(text.alias("text"), F.try_parse_json(F.to_json(F.struct(event.alias("event")))).alias("answer"), F.lit("2024-03-07").cast("date").alias("published"))
+    a = spread(table(spark, sf, "part"), "p_partkey").select(text.alias("text"), F.try_parse_json(F.to_json(F.struct(event.alias("event")))).alias("answer"), F.lit("2024-03-07").cast("date").alias("published"))
     return event_rows(normalised(a)).select("event_id", "day", "articles")

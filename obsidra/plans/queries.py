@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as docs_
 from ..functions import keys, pages, semver, text, times, urls
 from ..operators import dedup, joins, merge, packages, paging, predicates, reports, routing, sampling, series, warehouse
-from ..session import table
+from ..session import spread, table
 from ..sources import discovery
 from .registry import ORACLES, QUERIES, query
 
@@ -529,7 +529,7 @@ def page_titles(spark, sf):
 
 @query("SELECT page_id, pos, href FROM (SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<svg\\b[^>]*>.*?</svg\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>|<template\\b[^>]*>.*?</template\\s*>', ' ', 'g'), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1) AS l FROM pages))")
 def page_hrefs(spark, sf):
-    found = pages.link_rows(table(spark, sf, "pages").select("page_id", "html"), "a")
+    found = pages.link_rows(spread(table(spark, sf, "pages").select("page_id", "html"), "page_id"), "a")
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 

@@ -45,3 +45,8 @@ def test_trees_are_made_in_parts(spark):
 
     rows = spark.createDataFrame([("<p>x",)], "h string").select(elements.page_tree(F.col("h")).alias("t"))
     assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heavy_rows_of_a_small_table_are_spread(spark):
+    for name in "attributes_of_pages articles_bound products_of_pages items_of_pages breadcrumbs_of_pages quotes_aligned articles_of_pages page_digests page_hrefs".split():
+        assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name

@@ -22,29 +22,37 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def folded_text(text: Column) -> Column:
-    """struct<text, at>: the folded form, with a space at both ends, and the place in ``text`` of each of its characters."""
-    chars = F.transform(F.split(F.concat(F.lit(" "), text, F.lit(" ")), ""), lambda c: F.when(c.rlike(r"[\p{L}\p{M}\p{N}]"), F.substring(F.lower(c), 1, 1)).otherwise(" "))
+#: Signs of a word, in a class of a pattern.
+_WORD = r"\p{L}\p{M}\p{N}"
+
+
+def _folded(text: Column) -> Column:
+    """Words in small letters (one kind of sigma, whatever stood beside it), single spaces between them and at both ends."""
+    words = F.translate(F.lower(F.regexp_replace(text, f"[^{_WORD}]+", " ")), "ς", "σ")
+    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
-    def kept(plain: Column) -> Column:
-        marked = F.transform(plain, lambda c, i: F.when((c != " ") | (i == 0) | (F.get(plain, i - 1) != " "), F.struct(c.alias("c"), (i - 1).alias("at"))))
-        return F.filter(marked, lambda m: m.isNotNull())
 
-    pairs = _let(chars, kept)
-    return _let(pairs, lambda p: F.struct(F.array_join(F.transform(p, lambda m: m["c"]), "").alias("text"), F.transform(p, lambda m: m["at"]).alias("at")))
+def folded_text(text: Column) -> Column:
+    """struct<text, lengths>: the folded form, and the lengths of what stands in ``text`` in turn: a gap (with one sign more at the start) and a word."""
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(f"[{_WORD}]+|[^{_WORD}]+"), F.lit(0))
+    return F.struct(_folded(text).alias("text"), F.transform(pieces, lambda p: F.length(p)).alias("lengths"))
 
 
 def quote_span(folded: Column, quote: Column) -> Column:
-    """struct<start, end> of the first place in a text (given :func:`folded_text`) where ``quote`` stands, in characters; null if nowhere or empty."""
-    needle = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(quote), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(" "))
+    """struct<start, end> of the first place in a text (given :func:`folded_text`) where ``quote`` stands, in characters; null if nowhere or empty.
+
+    A match begins and ends with words, so the words before it tell its place in the source.
+    """
+    spaces = lambda text: F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    upto = lambda pieces: F.aggregate(F.slice(folded["lengths"], F.lit(1), pieces), F.lit(-1), lambda total, n: total + n)
 
     def found(n: Column) -> Column:
         place = F.instr(folded["text"], n)
-        first = F.get(folded["at"], place)
-        last = F.get(folded["at"], place + F.length(n) - 3)
-        return F.when((place > 0) & (F.length(n) > 2), F.struct(first.cast("int").alias("start"), (last + 1).cast("int").alias("end")))
+        before = spaces(F.left(folded["text"], place - 1))
+        words = spaces(n) - 1
+        return F.when((place > 0) & (F.length(n) > 2), F.struct(upto(2 * before + 1).alias("start"), upto(2 * (before + words)).alias("end")))
 
-    return _let(needle, found)
+    return _let(_folded(quote), found)
 
 
 def _texts(answer: Column, path: str) -> Column:

@@ -67,3 +67,13 @@ def test_events_of_several_articles(spark):
     found = news.event_rows(news.normalised(spark.createDataFrame(rows, "text string, a string, published date").withColumn("answer", F.try_parse_json("a"))))
     assert sorted((r["summary"], r["articles"]) for r in found.collect()) == [("6", 2), ("7", 1)]
     assert news.event_rows(news.normalised(spark.createDataFrame([], "text string, a string, published date").withColumn("answer", F.try_parse_json("a")))).count() == 0
+
+
+def test_spans_in_long_texts_and_of_letters_that_change_with_their_place(spark):
+    long = "«" + "слово, " * 40_000 + "— the END.'Of it"
+    rows = [("εις την ΟΔΟΣ, εδώ", "Η οδος"), ("εις την ΟΔΟΣ, εδώ", "ΤΗΝ - οδοσ"), ("ΟΔΟΣ'Α", "οδος α"), ("İki ǅ 😀x", "i̇ki ǆ"), ("a 😀 b c", "B—c"), (long, "the end of"), ("", "a"), ("a", "…"), ("ab c", "b c")]
+    df = spark.createDataFrame([(i, t, json.dumps({"evidence": [{"quote": q}]})) for i, (t, q) in enumerate(rows)], "i int, text string, a string").withColumn("answer", F.try_parse_json("a"))
+    got = {r["i"]: (r["q"]["start"], r["q"]["end"]) for r in news.aligned(df).select("i", F.col("quotes")[0].alias("q")).collect()}
+    end = len(long)
+    assert got == {0: (None, None), 1: (4, 12), 2: (0, 6), 3: (0, 5), 4: (4, 7), 5: (end - 14, end - 3), 6: (None, None), 7: (None, None), 8: (None, None)}
+    assert long[end - 14 : end - 3] == "the END.'Of"

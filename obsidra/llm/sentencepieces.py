@@ -35,7 +35,7 @@ MARK = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words kept between batches of a task, and decided pairs of pieces kept between tasks.
-CACHE_WORDS, CACHE_PAIRS = 100_000, 400_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
 #: Bytes of text that are cut into words at once (a longer text goes alone).
 PART_BYTES = 256 << 10
 
@@ -138,6 +138,8 @@ class Encoder:
                 self.reach[piece[-3:]] = max(self.reach.get(piece[-3:], 0), len(piece))
         self.lawful: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        #: words of the generation before; those that occur again are taken over
+        self.older: dict[str, tuple[int, ...]] = {}
         #: forward states of the prefixes of the last word: last piece, its first character, score
         self.last: list[int] = [-1]
         self.begin: list[int] = [0]
@@ -211,8 +213,9 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Adds the ids of ``words``, depth-first through their trie."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
+        if len(self.words) + len(words) > CACHE_WORDS // 2:
+            self.older, self.words = self.words, {}
+        self.words.update((w, self.older[w]) for w in words & self.older.keys())
         if len(self.lawful) > CACHE_PAIRS:
             self.lawful.clear()
         ids = self.model.ids
@@ -295,7 +298,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
                 same = [b == t.replace(MARK, " ").encode() for b, t in zip(back, texts)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("__row").slice(i, j - i), pa.array(np.diff(bounds)), lists, pa.array(same, pa.bool_())], ["__row", *[f.name for f in added]])
-        encoder.words.clear()  # other stages need the worker's memory
+        encoder.words, encoder.older = {}, {}  # other stages need the worker's memory
         tidy()
 
     return rows.mapInArrow(run, schema).select("__row.*", *[f.name for f in added])
